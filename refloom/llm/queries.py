@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from refloom.llm import q_copies, q_sentences, q_survivors
+from refloom.llm import q_copies, q_sentences, q_survivors, q_truncation
 
-MODULES = [q_copies, q_survivors, q_sentences]
+MODULES = [q_copies, q_survivors, q_sentences, q_truncation]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

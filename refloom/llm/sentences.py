@@ -23,7 +23,7 @@ from collections.abc import Iterator
 # Abbreviations by what may follow them.
 #: A name, a number or more of the sentence follows; never an end.
 INNER = frozenset(
-    "dr prof st mr mrs ms mt sr sra dra srta fr frl hr m mm mme mlle mgr me gen col lt capt rev hon cf vs fig figs eq eqs sec secs ch app no nos nr vol vols pp ed eds art arts abb bd hrsg vgl bspw evtl ggf sog z d h u "
+    "dr prof st mr mrs ms mt sr sra dra srta fr frl hr m mm mme mlle mgr me gen col lt capt rev hon cf vs fig figs eq eqs sec secs ch app no nos nr vol vols pp ed eds art arts abb bd hrsg vgl bzw bspw evtl ggf sog z d h u "
     "p.ej p.ex e.g i.e viz al-a pág págs núm cap ej ex см рис табл ср напр им гл стр проф акад г-н г-жа т डॉ श्री प्रो د أ م v ibid op loc inkl zzgl resp".split()
 )
 #: A number may follow, then no end; otherwise like any word.

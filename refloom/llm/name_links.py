@@ -2,7 +2,7 @@
 
 1. Tokens: all long tokens of all names are compared by MinHash banding over padded 3-grams. Band
    size follows from the collision curve 1-(1-s^r)^b: with rows r fixed, the number of bands is the
-   least that reaches the wanted recall at the similarity of one slip in a short token. Pairs in one
+   least that reaches the wanted recall at the similarity that one slip leaves. Pairs in one
    bucket are verified by edit distance; each token then joins the most frequent token it is near to
    (stars of tokens).
 2. Family token: the token of a name whose star stands beside the fewest other tokens. Given names
@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from refloom.llm.names import NICKNAMES, edit, monge_elkan, near, read_name, trigrams
+from refloom.llm.names import KNOWN_GIVEN, NICKNAMES, edit, monge_elkan, near, near_given, read_name, trigrams
 from refloom.plans.lineage import cut
 
 ROWS = 3
@@ -71,8 +71,9 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_stars(tokens: DataFrame) -> DataFrame:
-    """(token, n) -> (token, star): the most frequent near token, or the token itself."""
-    keyed = tokens.repartition("token").mapInArrow(_band_keys, "token string, n bigint, key bigint")
+    """(token, n, beside) -> (token, star): the most frequent near token, or the token itself."""
+    weights = tokens.select("token", "beside")
+    keyed = tokens.select("token", "n").repartition("token").mapInArrow(_band_keys, "token string, n bigint, key bigint")
     a = keyed.select("key", F.col("token").alias("a"), F.col("n").alias("na"))
     b = keyed.select("key", F.col("token").alias("b"), F.col("n").alias("nb"))
     # From the rarer to the more frequent token of a bucket; equal frequency: to the smaller one.
@@ -80,10 +81,11 @@ def token_stars(tokens: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keep = [near(p, q) for p, q in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+            keep = [near(p, q) or near_given(p, q, i, j) for p, q, i, j in zip(*(x.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True)]
             yield x.filter(pa.array(keep, pa.bool_()))
 
-    linked = pairs.mapInArrow(verify, "a string, b string, nb bigint")
+    pairs = pairs.join(weights.select(F.col("token").alias("a"), F.col("beside").alias("ia")), "a").join(weights.select(F.col("token").alias("b"), F.col("beside").alias("ib")), "b")
+    linked = pairs.select("a", "b", "nb", "ia", "ib").mapInArrow(verify, "a string, b string, nb bigint, ia bigint, ib bigint")
     best = linked.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("star"))
     return _flatten(tokens, best)
 
@@ -155,7 +157,7 @@ def _fits(r: tuple, c: tuple) -> bool:
     if group:
         return monge_elkan(_tokens(r), _tokens(c)) >= SAME
     if given and cgiven:
-        same = given == cgiven or set(_formal(given)) & set(_formal(cgiven)) or (min(len(given), len(cgiven)) > 3 and edit(given, cgiven, 1) <= 1)
+        same = given == cgiven or set(_formal(given)) & set(_formal(cgiven)) or (min(len(given), len(cgiven)) > 3 and not {given, cgiven} & NICKNAMES.keys() and edit(given, cgiven, 1) <= 1)
         if not same or (initials and cinitials and initials[0] != cinitials[0]):
             return False
     elif given or cgiven:
@@ -195,13 +197,17 @@ def name_classes(names: DataFrame) -> DataFrame:
     counted = names.filter("name is not null and name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     read = cut(counted.mapInArrow(_readings, "name string, n bigint, tokens array<string>, initials array<string>, short array<string>, grp string"))
     tokens = read.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
+    each = read.select("name", F.explode(F.array_distinct("tokens")).alias("token"))
+    raw = each.join(each.select("name", F.col("token").alias("other")), "name").filter("token <> other").select("token", "other").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("beside"))
+    tokens = cut(tokens.join(raw, "token", "left").select("token", "n", F.coalesce("beside", F.lit(0)).alias("beside")))
     stars = cut(token_stars(tokens))
     # Tokens of a name by star, with the number of other stars each stands beside.
     placed = read.select("name", F.posexplode("tokens").alias("pos", "token")).join(stars, "token")
     beside = placed.select("name", "star").join(placed.select("name", F.col("star").alias("other")), "name").filter("star <> other")
     beside = beside.select("star", "other").distinct().groupBy("star").agg(F.count(F.lit(1)).alias("beside"))
-    groups = read.filter("grp <> ''").select("name", F.explode("tokens").alias("token"))
-    placed = cut(placed.join(beside, "star", "left").select("name", "pos", "token", "star", F.coalesce("beside", F.lit(0)).alias("beside")))
+    # A rare nickname stands beside few names, and is no family name for that.
+    known = F.when(F.col("star").isin(sorted(KNOWN_GIVEN)), F.lit(1 << 40)).otherwise(0)
+    placed = cut(placed.join(beside, "star", "left").select("name", "pos", "token", "star", (F.coalesce("beside", F.lit(0)) + known).alias("beside")))
     w = W.partitionBy("name").orderBy("beside", F.length("star").desc(), "pos")
     family = placed.withColumn("_k", F.row_number().over(w))
     parts = family.groupBy("name").agg(F.max(F.when(F.col("_k") == 1, F.col("star"))).alias("family"), F.max(F.when(F.col("_k") == 2, F.col("star"))).alias("given"))

@@ -13,21 +13,21 @@ import unicodedata
 
 # Words of names.
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame phd md jr sr".split())
-PARTICLES = frozenset("van von de la der den di da del dos du le al el bin ibn ten ter zu".split())
+PARTICLES = frozenset("van von de la der den di da del dos du le al el bin ibn ten ter zu mc mac o".split())
 NOBODY = frozenset("et al others and colleagues anonymous anon unknown".split())
 GROUPS = {
-    "collaboration": "collaboration", "collab": "collaboration", "consortium": "consortium", "consort": "consortium", "wg": "working group", "group": "group", "grp": "group",
+    "collaboration": "collaboration", "collab": "collaboration", "coll": "collaboration", "consortium": "consortium", "consort": "consortium", "cons": "consortium", "wg": "working group", "group": "group", "grp": "group",
     "institute": "institute", "inst": "institute", "laboratory": "laboratory", "lab": "laboratory", "team": "team", "network": "network", "initiative": "initiative", "project": "project",
     "committee": "committee", "society": "society", "centre": "centre", "center": "centre", "department": "department", "dept": "department", "university": "university", "univ": "university",
 }
 NICKNAMES = {
     "abby": "abigail", "al": "albert", "alex": "alexander alexandra", "andy": "andrew", "anya": "anna", "annie": "anna", "becky": "rebecca", "ben": "benjamin", "benny": "benjamin", "bea": "beatriz", "beth": "elizabeth", "betty": "elizabeth",
-    "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "catherine", "chris": "christopher", "chuck": "charles", "dan": "daniel", "danny": "daniel", "dave": "david", "deb": "deborah",
+    "bella": "isabella", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "catherine", "chris": "christopher", "chuck": "charles", "dan": "daniel", "danny": "daniel", "dave": "david", "deb": "deborah",
     "debbie": "deborah", "dick": "richard", "dima": "dmitri", "don": "donald", "ed": "edward", "eddie": "edward", "fran": "francisco", "frank": "francisco", "fred": "frederick", "freddy": "frederick", "gene": "eugene", "gosia": "malgorzata",
-    "greg": "gregory", "hans": "johannes", "jan": "johannes", "jack": "john", "jake": "jacob", "jeff": "jeffrey", "jen": "jennifer", "jenny": "jennifer", "jim": "james", "joe": "joseph", "jon": "jonathan", "josie": "josephine", "jo": "josephine",
+    "greg": "gregory", "hannes": "johannes", "hans": "johannes", "jan": "johannes", "jack": "john", "jake": "jacob", "jeff": "jeffrey", "jen": "jennifer", "jenny": "jennifer", "jim": "james", "joe": "joseph", "jon": "jonathan", "josie": "josephine", "jo": "josephine",
     "kate": "katherine katrin", "kathy": "katherine", "katie": "katherine", "kat": "katherine", "katya": "ekaterina", "kolya": "nikolai", "larry": "lawrence", "leo": "leonardo", "lexi": "alexandra", "sandra": "alexandra", "lisa": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "liza": "elizabeth", "maggie": "margaret",
     "matt": "matthew", "max": "maximilian", "meg": "margaret", "mike": "michael", "misha": "mikhail", "mitya": "dmitri", "nate": "nathan", "nadya": "nadia", "nick": "nicholas", "nico": "nicholas", "pablo": "paul", "paco": "francisco", "pancho": "francisco", "pasha": "pavel", "pat": "patricia",
-    "patty": "patricia", "peggy": "margaret", "pepe": "jose giuseppe", "beppe": "giuseppe", "pete": "peter", "phil": "philip", "rick": "richard", "rich": "richard", "rob": "robert", "ron": "ronald", "sam": "samuel", "sasha": "alexander alexandra", "steve": "stephen", "sue": "susanna", "susie": "susanna", "suzy": "susanna",
+    "patty": "patricia", "peggy": "margaret", "pepe": "jose giuseppe", "beppe": "giuseppe", "pete": "peter", "phil": "philip", "rick": "richard", "rich": "richard", "rob": "robert", "ron": "ronald", "sam": "samuel", "sasha": "alexander alexandra", "steve": "stephen", "sue": "susanna", "susi": "susanna", "susie": "susanna", "suzy": "susanna",
     "ted": "theodore", "theo": "theodore", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "tony": "anthony", "trish": "patricia", "tricia": "patricia", "val": "valerie", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "vik": "vikram", "vova": "vladimir", "walt": "walter",
     "will": "william", "yasha": "yakov", "zoli": "zoltan", "zhenya": "eugene",
 }
@@ -59,10 +59,10 @@ def read_name(name: str | None) -> tuple[list[str], list[str], list[str], str] |
     if {b.casefold() for b in bare} <= NOBODY:
         return None
     only_upper = not re.search(r"[a-z]", s)
-    for t in raw:
-        b = t.rstrip(".")
+    for at, t in enumerate(raw):
+        b, after = t.rstrip("."), raw[at + 1] if at + 1 < len(raw) else ""
         low = b.casefold()
-        if not low or low in TITLES and (t.endswith(".") or len(bare) > 2) or low == "the" and len(bare) > 1:
+        if not low or low in TITLES and (t.endswith(".") or len(bare) > 2 and not b.isupper()) or low == "the" and len(bare) > 1:
             continue
         if low in GROUPS and len(bare) > 1:
             group = GROUPS[low] if group != "working group" else group
@@ -70,7 +70,9 @@ def read_name(name: str | None) -> tuple[list[str], list[str], list[str], str] |
             group = "working group"
         elif len(low) == 1:
             initials.append(low)
-        elif low in PARTICLES and len(bare) > 1 and not only_upper:
+        elif low in PARTICLES and b.isupper() and after.isupper() and len(after) > 3:
+            continue
+        elif len(bare) > 1 and not only_upper and not b.isupper() and (low in PARTICLES or (b[0].islower() and len(low) < 5 and re.search(r"[A-Z]", s))):
             continue
         elif len(low) <= 3 and b.isupper() and not only_upper and len(bare) > 1 and not (set(low) & set("aeiou") and len(low) == 3):
             initials.extend(low)
@@ -91,8 +93,20 @@ def trigrams(token: str) -> set[str]:
 
 
 def near(a: str, b: str) -> bool:
-    """One insertion, deletion, substitution or swap of neighbours apart (or two in long tokens)."""
-    return edit(a, b, 2) <= (2 if min(len(a), len(b)) >= 10 else 1)
+    """One insertion, deletion, substitution or swap of neighbours apart (or two in long tokens).
+
+    Tokens of up to five letters are too alike by nature (Mei and Wei, Nick and Rick).
+    """
+    least = min(len(a), len(b))
+    return least > 5 and edit(a, b, 2) <= (2 if least >= 10 else 1)
+
+
+KNOWN_GIVEN = frozenset(NICKNAMES) | frozenset(w for v in NICKNAMES.values() for w in v.split())
+
+
+def near_given(a: str, b: str, beside_a: int, beside_b: int) -> bool:
+    """Is the short token ``a`` a slip for ``b``? Only if ``b`` stands beside many names, ``a`` beside hardly any."""
+    return min(len(a), len(b)) > 3 and beside_a <= 2 and beside_b >= 8 and a not in KNOWN_GIVEN and edit(a, b, 1) <= 1
 
 
 def edit(a: str, b: str, most: int) -> int:

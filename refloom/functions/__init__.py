@@ -1 +1 @@
-
+"""Column functions: ids, titles, years, small text transforms, fuzzy scores."""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from refloom.plans import integrity_queries
+from refloom.plans import graph_queries, integrity_queries, meta_queries, text_queries, trace_queries
 
-MODULES = [integrity_queries]
-FLAGSHIP = "p7_found"
+MODULES = [text_queries, graph_queries, meta_queries, trace_queries, integrity_queries]
+FLAGSHIP = "kw_sentence_hits"
 
 
 def queries() -> dict:

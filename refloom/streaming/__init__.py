@@ -1 +1 @@
-
+"""Continuous monitoring of arriving citations."""

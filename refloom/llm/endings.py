@@ -32,7 +32,7 @@ _CODE = re.compile(r"[;{}]$|^\s*(?:return|import|def|for|if|print|var|let|const|
 def split_mark(text: str) -> tuple[str, bool]:
     """Text without a trailing mark of truncation, and whether it had one."""
     s = text.rstrip()
-    m = _MARK.search(s)
+    m = _MARK.search(s, max(0, len(s) - 60))
     if not m:
         return s, False
     if m[0].strip() in ("...", "…") and not m[0][0].isspace() and s[: m.start()][-1:].isalpha():
@@ -48,8 +48,8 @@ def ending(text: str | None) -> tuple[str, str]:
     s = text.rstrip()
     lines = [x.strip() for x in re.split(r"[\n\r]+", s) if x.strip()]
     line = lines[-1]
-    word = re.search(r"\S*$", s)[0]
-    if _END.search(s):
+    word = s.rsplit(None, 1)[-1]
+    if _END.search(s[-200:]):
         bare = re.sub(r"[^\w.]+$", "", word)
         tok = re.sub(r"^\W+", "", bare).rstrip(".").lower()
         if word.startswith(("http://", "https://")) and not _LINK.match(line):
@@ -72,7 +72,7 @@ def ending(text: str | None) -> tuple[str, str]:
     if len(lines) > 1 and _CODE.search(line) and not re.search(r"[a-z]{3,} [a-z]{3,} [a-z]{2,}", line):
         return "code", word
     if _SPACELESS.match(s[-1]) or (_SPACELESS.search(line) and s[-1] in "%0123456789"):
-        return "spaceless", re.search(r"\S{1,8}$", s)[0]
+        return "spaceless", word[-8:]
     if len(lines) == 1 and not re.search(r"[.!?。！？।؟]\s", s) and not _CJK.search(s):
         return "title", word
     if len(lines) > 1 and len(line.split()) < 6 and _titled(line):

@@ -13,6 +13,7 @@
 
 Defined cases
 - null and empty names, et al.: no spelling of anyone. One spelling: no pair.
+- tokens of more than 64 letters link only names that share them exactly.
 - family name alone: joins the most frequent centre of its family.
 - an initial that fits several centres joins the most frequent one.
 - repeated rows only raise a spelling's frequency; empty tables give an empty result.
@@ -38,6 +39,8 @@ RECALL = 0.99
 #: 3-gram similarity of two tokens of eight letters that a swap of neighbours sets apart.
 LEAST_SIMILARITY = 0.42
 SAME = 0.88
+#: Tokens beyond this many letters are names of nobody and compared with no other.
+LONGEST = 64
 
 
 def bands(recall: float = RECALL, s: float = LEAST_SIMILARITY, r: int = ROWS) -> int:
@@ -73,7 +76,7 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_stars(tokens: DataFrame) -> DataFrame:
     """(token, n, beside) -> (token, star): the most frequent near token, or the token itself."""
     weights = tokens.select("token", "beside")
-    keyed = tokens.select("token", "n").repartition("token").mapInArrow(_band_keys, "token string, n bigint, key bigint")
+    keyed = tokens.filter(F.length("token") <= LONGEST).select("token", "n").repartition("token").mapInArrow(_band_keys, "token string, n bigint, key bigint")
     a = keyed.select("key", F.col("token").alias("a"), F.col("n").alias("na"))
     b = keyed.select("key", F.col("token").alias("b"), F.col("n").alias("nb"))
     # From the rarer to the more frequent token of a bucket; equal frequency: to the smaller one.

@@ -125,8 +125,8 @@ def breaks(lines: list[str], skip: dict[int, str]) -> list[tuple[int, int, str,
     for i, line in enumerate(lines):
         if i in skip:
             continue
-        m = re.search(rf"(\S*[^\W\d_])([{HYPHENS}])[ \t]*$", line)
-        if not m:
+        last = line.rstrip(" \t")
+        if len(last) < 2 or last[-1] not in HYPHENS or not last[-2:-1].isalpha():
             continue
         j = i + 1
         while j < len(lines) and (j in skip or not lines[j].strip("\x0c \t ")):
@@ -135,7 +135,7 @@ def breaks(lines: list[str], skip: dict[int, str]) -> list[tuple[int, int, str,
             continue
         rest = re.match(r"\s*(\S+)", lines[j])
         if rest and rest[1][0].isalpha():
-            out.append((i, j, m[1], m[2], rest[1]))
+            out.append((i, j, last.rsplit(None, 1)[-1][:-1], last[-1], rest[1]))
     return out
 
 

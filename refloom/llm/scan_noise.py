@@ -46,7 +46,7 @@ def vocabulary(papers: DataFrame) -> DataFrame:
 
     Compounds with one inner hyphen are counted as words too.
     """
-    text = F.regexp_replace(F.lower("text"), r"\S+[-­‐¬][ \t]*\n\s*\S*", " ")
+    text = F.regexp_replace(F.lower("text"), r"\S{1,80}[-­‐¬][ \t]*\n\s*\S{0,80}", " ")
     words = F.concat(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.regexp_extract_all(text, F.lit(r"\p{L}+-\p{L}+"), F.lit(0)))
     rows = papers.filter("text is not null").select((F.col("text_origin") == "scan").alias("is_scan"), F.explode(words).alias("word"))
     per = rows.filter(F.length("word") <= 100).groupBy("word").agg(F.count_if(~F.coalesce("is_scan", F.lit(False))).alias("clean"), F.count_if(F.coalesce("is_scan", F.lit(False))).alias("scan"))

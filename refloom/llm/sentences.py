@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 # Abbreviations by what may follow them.
@@ -119,29 +120,45 @@ def _quoted(s: str) -> list[tuple[int, int]]:
     return spans
 
 
-def _word_after(s: str, i: int) -> str:
-    m = re.compile(r"[^\s]*").match(s, i)
-    return m[0] if m else ""
+def _outer(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of the spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _within(outer: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Does a span begin before ``a`` and end after ``b``?"""
+    k = bisect_left(outer[0], a) - 1
+    return k >= 0 and outer[1][k] > b
+
+
+_BLANK, _NEAR = re.compile(r"\s*"), 200
 
 
-def _cost(s: str, start: int, t: re.Match, tail_end: int, cited: bool, quotes: list[tuple[int, int]]) -> float:
+def _cost(s: str, start: int, t: re.Match, tail_end: int, cited: bool, quotes: tuple[list[int], list[int]]) -> float:
     """Cost of ending a unit at this terminator: below zero for an end, above for none."""
     term, a, b = t[0], t.start(), t.end()
-    inside = [q for q in quotes if q[0] < a and q[1] > tail_end]
-    if inside:
+    if _within(quotes, a, tail_end):
         return 5.0
-    rest = s[tail_end:]
-    after = rest.lstrip()
+    begins = _BLANK.match(s, tail_end).end()
+    after = s[begins : begins + _NEAR]
     if not after:
         return -5.0
-    gap, nxt, closed = len(rest) - len(after), after[0], tail_end > b and not cited
+    gap, nxt, closed = begins - tail_end, after[0], tail_end > b and not cited
     if term[0] in CJK_END:
         if closed and after.startswith(CARRY_ON):
             return 3.0
         return 3.0 if after[0] in "，、；,;)）" else -3.0
     if nxt in "—–-" and len(after) > 2 and after[1:].lstrip()[:1].islower():
         return 3.0
-    word = _word_after(after, 0)
+    word = after.split(None, 1)[0]
     head = word.lstrip("\"“„«「『'‘([¿¡（—–-")
     if head[:4].lower() in ("http", "www.") and term == ".":
         return -1.0 if gap else 3.0
@@ -182,7 +199,8 @@ def _cost(s: str, start: int, t: re.Match, tail_end: int, cited: bool, quotes: l
 
 def _units(s: str, base: int) -> Iterator[tuple[int, int]]:
     """Units of one line, offset by ``base``."""
-    quotes = _quoted(s) if re.search(r"[“”„«»「」『』‹›\"(（]", s) else []
+    spans = _quoted(s) if re.search(r"[“”„«»「」『』‹›\"(（]", s) else []
+    quotes, closings = _outer(spans), {q[1] for q in spans}
     nodes: list[tuple[int, float]] = []
     start = len(s) - len(s.lstrip())
     for t in _TERM.finditer(s):
@@ -194,25 +212,26 @@ def _units(s: str, base: int) -> Iterator[tuple[int, int]]:
             end = spaced.end()
         # A closer in the tail counts only if it closes something here, else it opens the next unit.
         tail = s[t.end() : end]
-        if tail.endswith(("“", '"')) and not cite and end < len(s) and not s[end].isspace() and not any(q[1] == end for q in quotes):
+        if tail.endswith(("“", '"')) and not cite and end < len(s) and not s[end].isspace() and end not in closings:
             end -= 1
         nodes.append((end, _cost(s, start, t, end, bool(cite), quotes)))
     if _SPACELESS.search(s):
         runs = list(_SPACELESS_RUN.finditer(s))
+        starts, stops = [r.start() for r in runs], [r.end() for r in runs]
         for m in re.finditer(r"(?<=\S)\s+(?=\S)", s):
-            left, right = s[: m.start()], s[m.end() :]
+            left, right = s[max(0, m.start() - _NEAR) : m.start()], s[m.end() : m.end() + _NEAR]
             bare = _CITE.sub("", left).rstrip(" %0123456789.,[]()")
+            quoted = _within(quotes, m.start(), m.start())
             if not _SPACELESS.match(bare[-1:]) or not _SPACELESS.match(right.lstrip("“\"«(")[:1]):
-                if _SPACELESS.match(bare[-1:]) and right[:1].isupper() and not any(q[0] < m.start() < q[1] for q in quotes):
+                if _SPACELESS.match(bare[-1:]) and right[:1].isupper() and not quoted:
                     nodes.append((m.start(), -1.0))
                 continue
-            if any(q[0] < m.start() < q[1] for q in quotes):
+            if quoted:
                 continue
-            before = next((r[0] for r in reversed(runs) if r.end() <= m.start()), "")
-            after = next((r[0] for r in runs if r.start() >= m.end()), "")
-            nodes.append((m.start(), -1.0 if _gap_ends(before, after) else 1.0))
+            k, j = bisect_right(stops, m.start()) - 1, bisect_left(starts, m.end())
+            nodes.append((m.start(), -1.0 if k >= 0 and j < len(runs) and _gap_ends(runs[k][0], runs[j][0]) else 1.0))
     nodes.append((len(s), -9.0))
-    nodes = sorted({e: min(c for x, c in nodes if x == e) for e, _ in nodes}.items()) if len(nodes) < 64 else _merged(nodes)
+    nodes = _merged(nodes)
     # cheapest path; an arc without a letter or digit costs more than any terminator gives
     best: list[tuple[float, int]] = []
     for k, (end, c) in enumerate(nodes):
@@ -225,7 +244,7 @@ def _units(s: str, base: int) -> Iterator[tuple[int, int]]:
     at = start
     for end in reversed(ends):
         piece = s[at:end]
-        a, b = at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip())
+        a, b = end - len(piece.lstrip()), at + len(piece.rstrip())
         if a < b:
             yield base + a, base + b
         at = end

@@ -93,8 +93,8 @@ def survivors(records: DataFrame, trust: DataFrame, fields: list[Field], group:
     ``trust`` (provider, trust_rank) is a table of sources, a few rows per source, and is joined
     after it has been reduced to one row per provider.
     """
-    trust = trust.groupBy("provider").agg(F.min("trust_rank").alias("_trust"))
-    t, none = F.coalesce(F.col("_trust"), F.lit(LEAST_TRUST)).cast("bigint"), F.lit(None).cast("timestamp_ntz")
+    trust = trust.groupBy("provider").agg(F.min("trust_rank").alias("__trust"))
+    t, none = F.coalesce(F.col("__trust"), F.lit(LEAST_TRUST)).cast("bigint"), F.lit(None).cast("timestamp_ntz")
     long = records.filter(F.col(group).isNotNull()).join(trust, "provider", "left").select(
         group,
         F.col(rec).alias("_rec"),

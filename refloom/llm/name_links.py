@@ -3,8 +3,8 @@
 1. Tokens: all long tokens of all names are compared by MinHash banding over padded 3-grams. Band
    size follows from the collision curve 1-(1-s^r)^b: with rows r fixed, the number of bands is the
    least that reaches the wanted recall at the similarity that one slip leaves. Pairs in one
-   bucket are verified by edit distance; each token then joins the most frequent token it is near to
-   (stars of tokens).
+   bucket are verified by edit distance; each token then joins the most frequent centre it is near to
+   (stars of tokens; a token with satellites of its own keeps them).
 2. Family token: the token of a name whose star stands beside the fewest other tokens. Given names
    and words like consortium stand beside many.
 3. Names: distinct readings meet in blocks of family star and first letter of the rest. Within a
@@ -74,7 +74,7 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_stars(tokens: DataFrame) -> DataFrame:
-    """(token, n, beside) -> (token, star): the most frequent near token, or the token itself."""
+    """(token, n, beside) -> (token, star): the centre among its near tokens, or the token itself."""
     weights = tokens.select("token", "beside")
     keyed = tokens.filter(F.length("token") <= LONGEST).select("token", "n").repartition("token").mapInArrow(_band_keys, "token string, n bigint, key bigint")
     a = keyed.select("key", F.col("token").alias("a"), F.col("n").alias("na"))
@@ -84,21 +84,39 @@ def token_stars(tokens: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keep = [near(p, q) or near_given(p, q, i, j) for p, q, i, j in zip(*(x.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True)]
-            yield x.filter(pa.array(keep, pa.bool_()))
+            rows = [(p, q, n, edit(p, q, 1) <= 1) for p, q, n, i, j in zip(*(x.column(c).to_pylist() for c in range(5)), strict=True) if near(p, q) or near_given(p, q, i, j)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            types = (pa.string(), pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["a", "b", "nb", "close"])
 
     pairs = pairs.join(weights.select(F.col("token").alias("a"), F.col("beside").alias("ia")), "a").join(weights.select(F.col("token").alias("b"), F.col("beside").alias("ib")), "b")
-    linked = pairs.select("a", "b", "nb", "ia", "ib").mapInArrow(verify, "a string, b string, nb bigint, ia bigint, ib bigint")
-    best = linked.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("star"))
-    return _flatten(tokens, best)
+    linked = pairs.select("a", "b", "nb", "ia", "ib").mapInArrow(verify, "a string, b string, nb bigint, close boolean")
+    return _stars(tokens, linked)
 
 
-def _flatten(tokens: DataFrame, best: DataFrame) -> DataFrame:
-    """A centre that itself hangs on another token keeps its satellites; satellites of satellites stay apart."""
-    best = cut(best)
-    centres = tokens.join(best.select(F.col("a").alias("token")), "token", "left_anti").select(F.col("token").alias("star"))
-    direct = best.join(centres, "star", "left_semi").select(F.col("a").alias("token"), "star")
-    return tokens.select("token").join(direct, "token", "left").select("token", F.coalesce("star", "token").alias("star"))
+def _stars(tokens: DataFrame, linked: DataFrame) -> DataFrame:
+    """(token), (a, b, nb, close) -> (token, star).
+
+    A token hangs on its most frequent near token that is near no more frequent one itself, else on its
+    most frequent near token. A token that others hang on keeps them: it lets go of its own link if that
+    is of two slips (two names that are alike), and takes them along if it is of one. What is two slips
+    from its centre and one from a token that let go joins the latter.
+    """
+    linked = cut(linked)
+    hanging = linked.select(F.col("a").alias("b"), F.lit(0).alias("top")).distinct()
+    ranked = linked.join(hanging, "b", "left").select("a", "b", "close", F.struct(F.coalesce("top", F.lit(1)), "nb", "b").alias("rank"))
+    best = cut(ranked.groupBy("a").agg(F.max_by(F.struct("b", "close"), "rank").alias("up")).select("a", "up.b", "up.close"))
+    held = cut(best.filter("not close").join(best.select(F.col("b").alias("a")), "a", "left_semi").select("a"))
+    nearer = linked.filter("close").join(held.withColumnRenamed("a", "b"), "b", "left_semi").groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("nearer"))
+    star = F.when(F.col("close"), F.col("b")).otherwise(F.coalesce("nearer", "b")).alias("star")
+    up = cut(best.join(held, "a", "left_anti").join(nearer, "a", "left").select("a", star))
+    while True:  # each round halves the way to the centre
+        step = up.select(F.col("a").alias("star"), F.col("star").alias("next"))
+        longer = cut(up.join(step, "star", "left").select("a", F.coalesce("next", "star").alias("star"), F.col("next").isNotNull().alias("moved")))
+        up = longer.select("a", "star")
+        if longer.filter("moved").isEmpty():
+            break
+    return tokens.select("token").join(up.withColumnRenamed("a", "token"), "token", "left").select("token", F.coalesce("star", "token").alias("star"))
 
 
 def _formal(token: str) -> list[str]:

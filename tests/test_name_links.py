@@ -1,0 +1,22 @@
+from refloom.llm.name_links import token_stars
+
+
+def _stars(spark, counts):
+    return {r.token: r.star for r in token_stars(spark.createDataFrame([(t, n, 1) for t, n in counts.items()], "token string, n bigint, beside bigint")).collect()}
+
+
+def test_slip_of_a_name_that_is_like_a_more_frequent_one_keeps_its_family(spark):
+    s = _stars(spark, {"pledrostemu": 53, "pledristelu": 50, "pledristeul": 3, "pledrostemmu": 2})
+    assert s == {"pledrostemu": "pledrostemu", "pledrostemmu": "pledrostemu", "pledristelu": "pledristelu", "pledristeul": "pledristelu"}
+
+
+def test_chain_of_single_slips_shares_a_star(spark):
+    s = _stars(spark, {"ridkurafe": 10, "ridukrafe": 10, "ridukrrafe": 7})
+    assert set(s.values()) == {"ridkurafe"}
+
+
+def test_slip_near_two_names_joins_the_nearer_one(spark):
+    s = _stars(spark, {"pledrostemu": 53, "pledristelu": 50, "pledristeul": 3, "pledrostelu": 2})
+    assert s["pledristeul"] == s["pledristelu"] == "pledristelu" and s["pledrostelu"] == "pledrostemu"
+    s = _stars(spark, {"brastugrilo": 53, "brestugrila": 50, "brestugrlia": 3, "brestugrilos": 2})
+    assert s["brestugrila"] == s["brestugrlia"] == "brestugrila" and s["brestugrilos"] == "brastugrilo"

@@ -21,11 +21,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from refloom.llm.match_keys import stage_keys
+from refloom.llm.match_keys import BEGINNING, stage_keys
 from refloom.plans.lineage import cut
 from refloom.plans.skew import salted_join
 
 STAGES = (0, 1, 2, 3)
+#: Edits of one slip at most: a swap of neighbours that makes one of the merged shapes and pushes out the last letter.
+SLIP = 3
 
 
 def _keys(stage: int, id_type: pa.DataType, paper: bool):
@@ -35,21 +37,31 @@ def _keys(stage: int, id_type: pa.DataType, paper: bool):
             years: list = []
             rules: list[int] = []
             keys: list[str] = []
+            forms: list[str | None] = []
             for i, *desc in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                for rule, key in set(stage_keys(stage, *desc, paper)):
+                for rule, key, form in set(stage_keys(stage, *desc, paper)):
                     ids.append(i)
                     years.append(desc[2])
                     rules.append(rule)
                     keys.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(years, pa.int32()), pa.array(rules, pa.int32()), pa.array(keys, pa.string())], names=["id", "year", "rule", "key"])
+                    forms.append(form)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(years, pa.int32()), pa.array(rules, pa.int32()), pa.array(keys, pa.string()), pa.array(forms, pa.string())], names=["id", "year", "rule", "key", "form"])
 
     return run
 
 
 def _hashed(df: DataFrame, stage: int, id_type: str) -> DataFrame:
     kind = pa.int64() if id_type == "bigint" else pa.string()
-    out = df.mapInArrow(_keys(stage, kind, id_type == "string"), f"id {id_type}, year int, rule int, key string")
-    return out.select("id", "year", "rule", F.xxhash64("rule", "key").alias("key"))
+    out = df.mapInArrow(_keys(stage, kind, id_type == "string"), f"id {id_type}, year int, rule int, key string, form string")
+    return out.select("id", "year", "rule", F.xxhash64("rule", "key").alias("key"), "form")
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that share a key; where keys hold only beginnings of titles, one title must begin the other but for a slip."""
+    a, b = F.col("form"), F.col("paper_form")
+    short, long_ = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    begins = F.levenshtein(short, F.left(long_, F.length(short)), SLIP) >= 0
+    return salted_join(left, right, "key").filter((F.col("rule") != BEGINNING) | begins)
 
 
 def cascade(entries: DataFrame, papers: DataFrame) -> DataFrame:
@@ -58,8 +70,9 @@ def cascade(entries: DataFrame, papers: DataFrame) -> DataFrame:
     open_, papers, found = entries.select(*cols), papers.select(*cols).filter("id is not null"), None
     for stage in STAGES:
         left = _hashed(open_, stage, "bigint")
-        right = _hashed(papers, stage, "string").groupBy(F.col("id").alias("paper_id"), "key").agg(F.min("year").alias("paper_year"))
-        hits = salted_join(left, right, "key").groupBy("id", "paper_id", "rule").agg(F.count(F.lit(1)).alias("n"), F.min(F.abs(F.col("year") - F.col("paper_year"))).alias("apart"))
+        right = _hashed(papers, stage, "string").groupBy(F.col("id").alias("paper_id"), "key", F.col("form").alias("paper_form")).agg(F.min("year").alias("paper_year"))
+        n = F.count_distinct("key") if stage == 2 else F.count(F.lit(1))  # a paper's titles may share a beginning
+        hits = _met(left, right).groupBy("id", "paper_id", "rule").agg(n.alias("n"), F.min(F.abs(F.col("year") - F.col("paper_year"))).alias("apart"))
         w = W.partitionBy("id").orderBy("rule", F.col("n").desc(), F.col("apart").asc_nulls_last(), "paper_id")
         if stage == 3:
             one = hits.groupBy("id", "rule").agg(F.count(F.lit(1)).alias("papers")).filter("papers = 1 or rule in (10, 14)").select("id", "rule")
@@ -83,8 +96,8 @@ def rule_precision(entries: DataFrame, papers: DataFrame, found: DataFrame, samp
     mine = entries.select(*cols).join(labels, "id").select(*cols)
     parts = []
     for stage in STAGES:
-        left, right = _hashed(mine, stage, "bigint"), _hashed(papers.select(*cols).filter("id is not null"), stage, "string").select(F.col("id").alias("paper_id"), "key").distinct()
-        parts.append(salted_join(left, right, "key").select("id", "paper_id", "rule").distinct())
+        left, right = _hashed(mine, stage, "bigint"), _hashed(papers.select(*cols).filter("id is not null"), stage, "string").select(F.col("id").alias("paper_id"), "key", F.col("form").alias("paper_form")).distinct()
+        parts.append(_met(left, right).select("id", "paper_id", "rule").distinct())
     pairs = parts[0]
     for p in parts[1:]:
         pairs = pairs.unionByName(p)

@@ -3,8 +3,10 @@
 Defined cases
 - null or blank title: the title is read from the raw string; without either there is no key.
 - kinds of papers (parts, comments, corrections, editions) are in every key, so they never mix.
-- null year, empty authors: keys with them are left out. Very long titles: the first 40 words carry
-  the word keys, the whole title the strict keys.
+- null year, empty authors: keys with them are left out. Very long titles: a word may lack among the
+  first 40; the words after them are in every key.
+- titles cut short meet on their first letters; a pair counts if all of the shorter begins the longer but
+  for a slip.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ _KIND = (
 _PART = re.compile(r"\b(?:part|pt|volume|vol)\.?\s+([ivx]+|\d+)\b")
 _EDITION = re.compile(r"\b(\d+(?:st|nd|rd|th)|first|second|third|fourth|fifth|revised|extended|abridged|new)\s+(?:ed|edn|edition|version)\b")
 _AGAIN = re.compile(r"\b(?:revisited|reconsidered|reloaded|continued|extended abstract|a sequel|sequel)$")
+#: The rule whose keys hold only the beginning of a title.
+BEGINNING = 12
+#: Words of a title that may each lack in the other title.
+MOST_WORDS = 40
 _PARTICLES = frozenset("van von de la der den di da del al dr prof jr sr et the mc and".split())
 
 
@@ -92,10 +98,10 @@ def title_forms(title: str) -> dict | None:
     head, colon, rest = base.partition(":")
     name = bool(colon) and len(head.split()) == 1 and len(rest.split()) > 2
     core = rest if name else base
-    core_words = [_skeleton(w) for w in re.sub(r"[:_]", " ", core).split() if w not in STOP][:40]
+    core_words = [_skeleton(w) for w in re.sub(r"[:_]", " ", core).split() if w not in STOP]
     n_tail = len([w for w in core.rpartition(":")[2].split() if w not in STOP])
     main = core.rpartition(":")[0] if ":" in core else ""
-    return {"kind": kind, "whole": whole, "core": "".join(core_words), "words": core_words, "name": _skeleton(head) if name else "", "main": _skeleton(re.sub(r"[\W_]+", "", main)) if len(main.split()) > 3 else "", "tail": "".join(core_words[-n_tail:]) if n_tail >= 4 else ""}
+    return {"kind": kind, "whole": whole, "core": "".join(core_words), "words": core_words[:MOST_WORDS], "more": core_words[MOST_WORDS:], "name": _skeleton(head) if name else "", "main": _skeleton(re.sub(r"[\W_]+", "", main)) if len(main.split()) > 3 else "", "tail": "".join(core_words[-n_tail:]) if n_tail >= 4 else ""}
 
 
 def name_tokens(authors: list[str] | None) -> list[str]:
@@ -109,13 +115,21 @@ def name_tokens(authors: list[str] | None) -> list[str]:
     return sorted(out)
 
 
-def stage_keys(stage: int, title: str | None, authors: list[str] | None, year: int | None, raw: str | None = None, paper: bool = False) -> Iterator[tuple[int, str]]:
-    """(rule, key) of a description for one stage of the cascade."""
+def stage_keys(stage: int, title: str | None, authors: list[str] | None, year: int | None, raw: str | None = None, paper: bool = False) -> Iterator[tuple[int, str, str | None]]:
+    """(rule, key, form) of a description for one stage of the cascade.
+
+    ``form`` is the whole title, shapes merged, where the key holds only its beginning.
+    """
     title = title if title and title.strip() else title_of_raw(raw, authors)
     f = title_forms(title) if title else None
     if f is None:
         return
-    names, k = name_tokens(authors), f["kind"]
+    for rule, key in _rule_keys(stage, f, name_tokens(authors), year, paper):
+        yield rule, key, _skeleton(f["whole"]) if rule == BEGINNING else None
+
+
+def _rule_keys(stage: int, f: dict, names: list[str], year: int | None, paper: bool) -> Iterator[tuple[int, str]]:
+    k, more = f["kind"], f["more"]
     y = str(year) if year else None
     if stage == 0:
         forms = ((0, f["whole"]), (3, f["core"]))
@@ -132,13 +146,13 @@ def stage_keys(stage: int, title: str | None, authors: list[str] | None, year: i
         w = f["words"]
         if len(w) >= 4:
             for i in range(len(w)):
-                form = " ".join(w[:i] + w[i + 1 :])
+                form = " ".join(w[:i] + w[i + 1 :] + more)
                 for n in names:
                     yield 6, f"{k}|{form}|{n}"
                 if y:
                     yield 7, f"{k}|{form}||{y}"
             # the title as given may itself lack the word
-            form = " ".join(w)
+            form = " ".join(w + more)
             for n in names:
                 yield 6, f"{k}|{form}|{n}"
             if y:
@@ -152,22 +166,26 @@ def stage_keys(stage: int, title: str | None, authors: list[str] | None, year: i
         w = f["words"]
         if len(w) >= 6:
             for drop in combinations(range(len(w)), 2):
-                form = " ".join(x for i, x in enumerate(w) if i not in drop)
+                form = " ".join([x for i, x in enumerate(w) if i not in drop] + more)
                 for n in names:
                     yield 9, f"{k}|{form}|{n}"
             for i in range(len(w)):  # one of the two lacks in this title already
-                form = " ".join(w[:i] + w[i + 1 :])
+                form = " ".join(w[:i] + w[i + 1 :] + more)
                 for n in names:
                     yield 9, f"{k}|{form}|{n}"
+        if len(w) >= 4:  # both lack in this title already
+            form = " ".join(w + more)
+            for n in names:
+                yield 9, f"{k}|{form}|{n}"
         if f["tail"]:  # the part before the colon left out
             for n in names:
                 yield 13, f"{k}|{f['tail']}|{n}"
         # either title may be cut short
         for n in names:
             if y and len(f["whole"]) >= 24:
-                yield 12, f"{k}|{f['whole'][:24]}|{n}|{y}"
+                yield BEGINNING, f"{k}|{f['whole'][:24]}|{n}|{y}"
             if len(f["whole"]) >= 34:
-                yield 12, f"{k}|{f['whole'][:34]}|{n}"
+                yield BEGINNING, f"{k}|{f['whole'][:34]}|{n}"
     elif stage == 3:
         # names with a slip of the pen keep their beginning or their end
         for n in names:

@@ -1,0 +1,32 @@
+from refloom.llm.cascade import cascade
+from refloom.llm.match_keys import title_forms
+
+_SCHEMA = "title string, authors array<string>, year int, raw string"
+_HEAD = "Revisiting kernel regression in "
+
+
+def _found(spark, entries, papers):
+    e = spark.createDataFrame([(i, t, ["Anna Gruber"], y, None) for i, t, y in entries], "id bigint, " + _SCHEMA)
+    p = spark.createDataFrame([(i, t, ["Bela Gruber"], y, None) for i, t, y in papers], "id string, " + _SCHEMA)
+    return {(r.id, r.paper_id) for r in cascade(e, p).collect()}
+
+
+def test_titles_that_only_begin_alike_do_not_match(spark):
+    entries = [(1, _HEAD + "thermal residual-neighbourhood models of the token", 2001), (2, _HEAD + "self-supervised retrieval", 2001)]
+    assert _found(spark, entries, [("p", _HEAD + "self-supervised retrieval-pathway models of the reef", 2001)]) == {(2, "p")}
+
+
+def test_title_cut_within_a_merged_shape_matches(spark):
+    whole = "Some large studies of coral reefs and modern government archives"
+    assert _found(spark, [(1, whole[: whole.index("modern") + 5], 2001)], [("p", whole, 2001)]) == {(1, "p")}
+
+
+def test_title_that_lacks_two_words_already_matches(spark):
+    whole = "Belief propagation in calibrated catalyst-dialogue models of the translation"
+    assert _found(spark, [(1, whole.replace("catalyst-dialogue ", ""), 2001)], [("p", whole, 1998)]) == {(1, "p")}
+
+
+def test_long_titles_that_differ_after_forty_words_have_other_cores():
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(44)]
+    a, b = title_forms(" ".join([*words, "tigers"])), title_forms(" ".join([*words, "lichen"]))
+    assert a["core"] != b["core"]

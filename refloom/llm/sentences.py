@@ -233,10 +233,22 @@ def _units(s: str, base: int) -> Iterator[tuple[int, int]]:
     nodes.append((len(s), -9.0))
     nodes = _merged(nodes)
     # cheapest path; an arc without a letter or digit costs more than any terminator gives
+    marks = [i for i, ch in enumerate(s) if ch.isalnum()]
     best: list[tuple[float, int]] = []
+    bare: list[tuple[float, int]] = []  # the cheapest node since the last letter or digit
+    full = (1e9, -1)  # cheapest earlier node with a letter or digit after it
+    seen = 0
     for k, (end, c) in enumerate(nodes):
-        options = [(0.0, -1, start)] + [(best[j][0], j, nodes[j][0]) for j in range(max(0, k - 12), k)]
-        best.append(min(((p + c + (0 if any(ch.isalnum() for ch in s[at:end]) else 20), j) for p, j, at in options if at < end or k == 0), default=(1e9, -1)))
+        now = bisect_left(marks, end)
+        if now > seen:  # letters since the node before: every earlier node has one after it
+            full, bare, seen = min([full, *bare]), [], now
+        line = (0.0 if now > bisect_left(marks, start) else 20.0, -1)
+        options = [line] if start < end or k == 0 else []
+        options += [full] if full[1] >= 0 else []
+        options += [(p + 20, j) for p, j in bare]
+        p, j = min(options, default=(1e9, -1))
+        best.append((p + c, j))
+        bare = [min([*bare, (p + c, k)])]
     k, ends = len(nodes) - 1, []
     while k >= 0:
         ends.append(nodes[k][0])

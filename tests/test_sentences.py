@@ -1,0 +1,26 @@
+import random
+
+import pytest
+
+from refloom.llm.sentences import sentence_spans
+
+
+def _units(text):
+    return [text[a:b] for a, b in sentence_spans(text)]
+
+
+def test_ends_before_and_after_a_long_row_of_false_stops():
+    names = ", ".join(f"{a}. {b}. Gruber" for a, b in zip("ABCDEFGHIJ", "KLMNOPQRST", strict=True))
+    assert _units(f"The work is done. It was shown by {names} in turn. Others agree.") == ["The work is done.", f"It was shown by {names} in turn.", "Others agree."]
+
+
+@pytest.mark.parametrize("text", ["...", ". . . . ", "1. 2. 3. A. B.", "(...) ... No! ?! ... Yes. "])
+def test_rows_of_stops_give_units_in_order(text):
+    spans = sentence_spans(text)
+    assert spans == sorted(spans) and all(a < b for a, b in spans)
+
+
+def test_long_line_is_cut_like_its_sentences():
+    rng = random.Random(3)
+    parts = [f"Word {rng.randint(1, 9)} stands alone." for _ in range(400)]
+    assert _units(" ".join(parts)) == parts

@@ -3,9 +3,11 @@
 A text is cut into lines, a line into a lattice: its nodes are the places where a unit may end, each
 with a cost from the terminator and what stands around it (abbreviations, initials, numerals,
 quotations, brackets, citation marks, the case of the next word), its arcs are possible units. The
-cheapest path gives the units. Scripts that use neither blanks between words nor full stops (Thai,
-Lao, Khmer, Burmese) go through a word lattice first: the gap between two runs of such text is an end
-where the word before is a final particle or the word after opens a clause of its own.
+cheapest path gives the units. Thai and Lao, which use neither blanks between words nor full stops, go
+through a word lattice first: the gap between two runs of such text is an end where the word before is
+a final particle or the word after opens a clause of its own. The dictionary holds function words and
+openers, not the language: a word that is not in it tells nothing, and its gap is no end. Khmer and
+Burmese have terminators of their own, which alone end their units.
 
 Defined cases
 - null, empty and blank text: no unit. Text without terminator: one unit per line.
@@ -41,6 +43,15 @@ THAI_OPENING = "การ ความ ผล ผลการ แบบจำล
 THAI_FINAL = "ครับ ค่ะ คะ นะ จ้ะ แล้ว ฯลฯ ด้วย เลย เท่านั้น ไหม หรือไม่ หรือเปล่า เถอะ สิ ล่ะ".split()
 THAI_FRONTED = "แม้ แม้ว่า ถ้า หาก เมื่อ ขณะที่ เนื่องจาก เพราะ สำหรับ จาก ใน ตาม โดย".split()
 THAI_OTHER = "และ หรือ แต่ ที่ ซึ่ง ว่า ของ กับ ให้ ได้ ไม่ มี เป็น คือ อยู่ จะ ต้อง ใช้ ช่วย ลด เพิ่ม ยืนยัน อธิบาย แทนที่ เปรียบเทียบ ปรับปรุง วิเคราะห์ ทดลอง เลือก แหล่ง อ้างอิง กระจาย สัดส่วน คำ หา ยาก น้ำหนัก เส้น เชื่อม แม่นยำ จับคู่ คลาดเคลื่อน ข้อความ สั้น ทุก ใหม่ สัญญาณ รบกวน นี้ นั้น".split()
+THAI_OPENING += "หลังจากนั้น จากนั้น ต่อมา สุดท้าย ในที่สุด เพราะฉะนั้น ฉะนั้น ยิ่งไปกว่านั้น อีกทั้ง ประการแรก ประการที่ กล่าวคือ ตัวอย่างเช่น แต่ทว่า ทว่า ท่าน คุณ พวกเขา พวกเรา หนู คน เด็ก ประเทศ รัฐบาล บริษัท โครงการ ปัญหา ปัจจุบัน วันนี้ เมื่อวาน พรุ่งนี้ นาย นาง นางสาว".split()
+THAI_FINAL += "คับ จ้า จ๊ะ นะครับ นะคะ หรอก เช่นกัน เหมือนกัน".split()
+THAI_FRONTED += "หลังจาก นอกจาก ถึงแม้ ทันทีที่".split()
+THAI_OTHER += "ก่อน ระหว่าง ตั้งแต่ เพื่อ แม้แต่ ในขณะที่ มาก ที่สุด ก็ ถูก แก่ ต่อ ถึง ด้วยกัน กว่า อย่าง ยัง เคย กำลัง ควร อาจ สามารถ ทำ ไป มา โดยเฉพาะ รวมถึง เช่น".split()
+# Lao words for the lattice, by role.
+LAO_OPENING = "ການ ຄວາມ ຂ້ອຍ ຂ້າພະເຈົ້າ ພວກເຮົາ ເຮົາ ລາວ ເຂົາ ພວກເຂົາ ມັນ ເຈົ້າ ທ່ານ ດັ່ງນັ້ນ ນອກຈາກນັ້ນ ນອກຈາກນີ້ ຢ່າງໃດກໍຕາມ ຫຼັງຈາກນັ້ນ ຕໍ່ມາ ສຸດທ້າຍ ຜູ້ ນັກ ຂໍ້ມູນ ລະບົບ ວິທີ ຜົນ ບົດ ຮູບ ຕາຕະລາງ ປະເທດ ລັດຖະບານ ປັດຈຸບັນ ມື້ນີ້ ເປັນຫຍັງ ໃຜ".split()
+LAO_FINAL = "ແລ້ວ ເດີ້ ເດ ເນາະ ແດ່ ດອກ ເລີຍ ເທົ່ານັ້ນ ຫຼືບໍ່ ບໍ່ລະ".split()
+LAO_FRONTED = "ຖ້າ ຫາກ ເມື່ອ ຂະນະທີ່ ເນື່ອງຈາກ ເພາະ ເພາະວ່າ ສຳລັບ ສໍາລັບ ຈາກ ໃນ ຕາມ ໂດຍ ເຖິງແມ່ນວ່າ".split()
+LAO_OTHER = "ແລະ ຫຼື ແຕ່ ທີ່ ຊຶ່ງ ເຊິ່ງ ວ່າ ຂອງ ກັບ ໃຫ້ ໄດ້ ບໍ່ ມີ ເປັນ ແມ່ນ ຢູ່ ຈະ ຕ້ອງ ໃຊ້ ນີ້ ນັ້ນ ກໍ".split()
 
 _SPACELESS = re.compile(r"[฀-໿က-႟ក-៿]")
 _SPACELESS_RUN = re.compile(r"[฀-໿က-႟ក-៿]+")
@@ -48,7 +59,7 @@ _TERM = re.compile(r"\.{2,}|…+|[.!?।॥؟۔။។։።]+|[。！？｡]+")
 _CITE = re.compile(r"\[\d+(?:\s*[,;–-]\s*\d+)*\]")
 _TAIL = re.compile(r"(?:\s?[»›]|[”“’'\"」』)\]）】])*")
 _ENUM = re.compile(r"\(?(?:\d{1,3}(?:\.\d{1,3})*|[ivxIVX]{1,4}|[A-Za-z])\.?$")
-_WORDS = {w: kind for kind, ws in (("open", THAI_OPENING), ("final", THAI_FINAL), ("front", THAI_FRONTED), ("", THAI_OTHER)) for w in ws}
+_WORDS = {w: kind for kind, ws in (("open", THAI_OPENING + LAO_OPENING), ("final", THAI_FINAL + LAO_FINAL), ("front", THAI_FRONTED + LAO_FRONTED), ("", THAI_OTHER + LAO_OTHER)) for w in ws}
 _LONGEST = max(map(len, _WORDS))
 
 
@@ -84,7 +95,7 @@ def _gap_ends(before: str, after: str) -> bool:
         return True
     if left[0][1] == "front" and not any(role == "open" for _, role in left[1:]):
         return False  # a fronted clause whose main clause is still to come
-    return right[0][1] in ("open", "?") or right[0][1] == "front"
+    return right[0][1] in ("open", "front")  # an unknown word tells nothing
 
 
 def _quoted(s: str) -> list[tuple[int, int]]:

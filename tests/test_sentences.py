@@ -24,3 +24,26 @@ def test_long_line_is_cut_like_its_sentences():
     rng = random.Random(3)
     parts = [f"Word {rng.randint(1, 9)} stands alone." for _ in range(400)]
     assert _units(" ".join(parts)) == parts
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "ខ្ញុំចូលចិត្តអានសៀវភៅ និងស្តាប់តន្ត្រី នៅផ្ទះ។",
+        "ကျွန်တော် စာအုပ် ဖတ်ရတာ ကြိုက်တယ်။",
+        "ແມວດຳ ໝາຂາວ ແລະນົກນ້ອຍ",
+        "แมวสีดำ หมูสีขาว และนกตัวเล็ก",
+    ],
+)
+def test_blank_before_an_unknown_word_is_no_end(text):
+    assert _units(text) == [text]
+
+
+def test_khmer_and_burmese_end_at_their_terminators():
+    assert _units("ខ្ញុំអាន សៀវភៅ។ គាត់ទៅផ្ទះ។") == ["ខ្ញុំអាន សៀវភៅ។", "គាត់ទៅផ្ទះ។"]
+    assert _units("စာအုပ် ဖတ်တယ်။ အိမ်ပြန်တယ်။") == ["စာအုပ် ဖတ်တယ်။", "အိမ်ပြန်တယ်။"]
+
+
+def test_lao_ends_before_an_opener_and_after_a_final_particle():
+    assert _units("ລາວອ່ານປຶ້ມ ດັ່ງນັ້ນລາວຮູ້ ແລະຈື່") == ["ລາວອ່ານປຶ້ມ", "ດັ່ງນັ້ນລາວຮູ້ ແລະຈື່"]
+    assert _units("ລາວໄປແລ້ວ ໝາຢູ່ບ້ານ") == ["ລາວໄປແລ້ວ", "ໝາຢູ່ບ້ານ"]

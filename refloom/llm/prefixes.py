@@ -23,9 +23,10 @@ from refloom.plans.lineage import cut
 
 
 def extensions(values: DataFrame) -> DataFrame:
-    """(value, asked, whole) with repeats -> (value, whole, extended) of every value that was asked for.
+    """(value, asked, whole) with repeats -> (value, whole, extended, at_break) of every value that was asked for.
 
-    ``asked``: the value is looked up; ``whole``: it stands somewhere as a whole.
+    ``asked``: the value is looked up; ``whole``: it stands somewhere as a whole; ``at_break``: the least
+    value that extends it goes on with a line break, which sorts before all print.
     """
     one = values.filter("value is not null and value <> ''").groupBy("value").agg(F.max("asked").alias("asked"), F.max("whole").alias("whole"))
     ordered = cut(one.repartitionByRange("value").sortWithinPartitions("value"))
@@ -39,16 +40,20 @@ def extensions(values: DataFrame) -> DataFrame:
             rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
             if held:
                 rows.insert(0, held)
-            out = [(v, w, nxt[0].startswith(v)) for (v, a, w), nxt in zip(rows, rows[1:], strict=False) if a]
+            out = [(v, w, *_goes_on(v, nxt[0])) for (v, a, w), nxt in zip(rows, rows[1:], strict=False) if a]
             held = rows[-1] if rows else None
             yield _batch(out)
         if held and held[1]:
-            yield _batch([(held[0], held[2], bool(later) and later[0].startswith(held[0]))])
+            yield _batch([(held[0], held[2], *_goes_on(held[0], later[0] if later else ""))])
 
-    return ordered.mapInArrow(look, "value string, whole boolean, extended boolean")
+    return ordered.mapInArrow(look, "value string, whole boolean, extended boolean, at_break boolean")
+
+
+def _goes_on(value: str, after: str) -> tuple[bool, bool]:
+    return after.startswith(value), after.startswith(value) and after[len(value) :].lstrip(" \t")[:1] in ("\n", "\r")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [(), (), ()]
-    types = (pa.string(), pa.bool_(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["value", "whole", "extended"])
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    types = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["value", "whole", "extended", "at_break"])

@@ -5,7 +5,9 @@ and lines that stand in them before their ends. The prefix join tells for each l
 is a strict prefix of something longer elsewhere, and whether it stands somewhere as a whole. What
 the text ends in decides which of these counts:
 
-- a text that is a strict prefix of a longer one, or whose last unit is, was cut there;
+- a text whose last unit is a strict prefix of a longer one was cut there; so was a text that ends in a
+  list item, label, link, formula, heading or line of code and that a longer text continues in that line,
+  unless that line stands as a whole somewhere;
 - a unit without terminator was cut, unless it is a title, heading, label, list item or link;
 - an abbreviation's stop ends no sentence; an ellipsis or a title does only after a whole word;
 - in scripts without terminators the last letters must be ones that end units elsewhere.
@@ -18,6 +20,7 @@ Defined cases
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,6 +35,8 @@ from refloom.plans.skew import lookup_join
 
 #: Letters at the end of a unit that are compared in scripts without terminators.
 SUFFIX = 6
+#: Kinds of endings that need no terminator: only a longer copy of the text tells that they were cut.
+IN_LINE = ("list", "label", "link", "formula", "code", "heading", "line")
 _WORD = re.compile(r"[^\W\d_]+")
 _ELLIPSIS = re.compile(r"\s*(?:\.\.\.|…)$")
 _CITES = re.compile(r"(?<=[.!?।॥؟。！？”»\"」])(?:\s?\[\d[\d,\s–-]*\])+$")
@@ -57,6 +62,7 @@ def last_parts(text: str | None) -> dict | None:
         "line": "l\x1f" + re.split(r"[\n\r]+", s.strip())[-1].strip(),
         "tail": "s\x1f" + s[-SUFFIX:] if kind == "spaceless" else None,
         "open_word": is_open_word(s.split()[-1]),
+        "copy": hashlib.md5(s.encode()).hexdigest() if kind in IN_LINE else None,
         "body": spans[:-1],
     }
 
@@ -71,6 +77,10 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p is None:
                 continue
             asked |= {p[k] for k in ("unit", "word", "line", "tail") if p[k]}
+            copy = "c\x1f" + split_mark(text)[0]
+            whole.add(copy)
+            if p["copy"]:
+                asked.add(copy)
             units = [text[x:y] for x, y in p["body"]]
             whole.update("u\x1f" + _ELLIPSIS.sub("", _CITES.sub("", u)) for u in units)
             whole.update("w\x1f" + w.lower() for u in units for w in _WORD.findall(u))
@@ -82,7 +92,7 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-_PARTS = (("kind", pa.string()), ("mark", pa.bool_()), ("dots", pa.bool_()), ("unit", pa.string()), ("word", pa.string()), ("line", pa.string()), ("tail", pa.string()), ("open_word", pa.bool_()))
+_PARTS = (("kind", pa.string()), ("mark", pa.bool_()), ("dots", pa.bool_()), ("unit", pa.string()), ("word", pa.string()), ("line", pa.string()), ("tail", pa.string()), ("open_word", pa.bool_()), ("copy", pa.string()))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +105,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judged(texts: DataFrame) -> DataFrame:
     """(id, text) -> (id, kind, is_cut) of every row."""
     facts = cut(extensions(texts.select("text").mapInArrow(_values, "value string, asked boolean, whole boolean")))
-    rows = texts.select("id", "text").mapInArrow(_parts, "id bigint, kind string, mark boolean, dots boolean, unit string, word string, line string, tail string, open_word boolean")
+    rows = texts.select("id", "text").mapInArrow(_parts, "id bigint, kind string, mark boolean, dots boolean, unit string, word string, line string, tail string, open_word boolean, copy string")
     rows = cut(rows)
     for k in ("unit", "word", "line", "tail"):
         fact = facts.filter(F.col("value").startswith(k[0].replace("t", "s") + "\x1f")).select(F.col("value").alias(k), F.col("whole").alias(f"{k}_whole"), F.col("extended").alias(f"{k}_ext"))
@@ -104,6 +114,8 @@ def judged(texts: DataFrame) -> DataFrame:
             known = known.filter(F.col("dots") | F.col("kind").isin("title", "spaceless", "line"))
         found = lookup_join(known.select("id", k), fact, k, "inner").drop(k)
         rows = rows.join(found, "id", "left")
+    copies = facts.filter(F.col("value").startswith("c\x1f") & F.col("extended")).select(F.md5(F.substring("value", 3, 1 << 30).cast("binary")).alias("copy"), (~F.col("at_break")).alias("copy_ext"))
+    rows = rows.join(lookup_join(rows.filter("copy is not null").select("id", "copy"), copies, "copy", "inner").drop("copy"), "id", "left")
     return rows.select("id", "kind", is_cut().alias("is_cut"))
 
 
@@ -113,6 +125,7 @@ def is_cut() -> Column:
     yes = lambda x: F.coalesce(c(x), F.lit(False))
     longer = yes("unit_ext") & ~yes("unit_whole")
     broken = yes("word_ext") & ~yes("word_whole")
+    copied = yes("copy_ext") & ~yes("line_whole")
     rest = c("kind")
     return (
         F.when(rest.isin("open", "abbreviation"), True)
@@ -120,7 +133,7 @@ def is_cut() -> Column:
         .when(rest == "title", c("mark") | c("open_word") | broken | longer)
         .when(rest == "spaceless", c("mark") | ~yes("tail_whole"))
         .when(rest == "line", ~yes("line_whole"))
-        .when(rest == "code", c("mark"))
-        .when(rest == "heading", c("mark") & ~yes("line_whole"))
-        .otherwise(False)
+        .when(rest == "code", c("mark") | copied)
+        .when(rest == "heading", (c("mark") | yes("copy_ext")) & ~yes("line_whole"))
+        .otherwise(copied)
     )

@@ -1,0 +1,17 @@
+from refloom.llm.truncation import judged
+
+
+def _cut(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    return {r.id for r in judged(df).filter("is_cut").collect()}
+
+
+def test_list_item_that_a_longer_copy_continues_was_cut(spark):
+    whole = "The plan has two parts.\n- read the given tables\n- write the results to the folder\nThat is all."
+    at = whole.index(" to the folder")
+    assert _cut(spark, [whole, whole[:at]]) == {1}
+
+
+def test_list_item_that_ends_at_its_line_was_not_cut(spark):
+    whole = "The plan has two parts.\n- read the given tables\n- write the results\nThat is all."
+    assert _cut(spark, [whole, whole[: whole.index("\nThat")], "Another.\n- a lonely item here"]) == set()

@@ -2,7 +2,9 @@
 
 1. Tokens: all long tokens of all names are compared by MinHash banding over padded 3-grams. Band
    size follows from the collision curve 1-(1-s^r)^b: with rows r fixed, the number of bands is the
-   least that reaches the wanted recall at the similarity that one slip leaves. Pairs in one
+   least that reaches the wanted recall at the similarity that one slip leaves in a token of eight
+   letters. Slips that leave less meet on the tokens with letters left out, so every pair that may be
+   accepted shares a bucket. Pairs in one
    bucket are verified by edit distance; each token then joins the most frequent centre it is near to
    (stars of tokens; a token with satellites of its own keeps them).
 2. Family token: the token of a name whose star stands beside the fewest other tokens. Given names
@@ -31,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from refloom.llm.names import KNOWN_GIVEN, NICKNAMES, edit, monge_elkan, near, near_given, read_name, trigrams
+from refloom.llm.names import KNOWN_GIVEN, NICKNAMES, TWO_SLIPS, edit, monge_elkan, near, near_given, read_name, trigrams
 from refloom.plans.lineage import cut
 
 ROWS = 3
@@ -48,6 +50,14 @@ def bands(recall: float = RECALL, s: float = LEAST_SIMILARITY, r: int = ROWS) ->
     return math.ceil(math.log(1 - recall) / math.log(1 - s**r))
 
 
+def shortened(token: str) -> set[str]:
+    """The token with up to as many letters left out as it may have slips: an edit or swap takes one from each side."""
+    out = {token}
+    for _ in range(2 if len(token) >= TWO_SLIPS else 1):
+        out |= {d[:i] + d[i + 1 :] for d in out for i in range(len(d))}
+    return out
+
+
 def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [(n, c, *r) for n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (r := read_name(n))]
@@ -64,6 +74,10 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
         counts: list[int] = []
         for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d in shortened(t):
+                tokens.append(t)
+                counts.append(n)
+                keys.append(xxhash.xxh64_intdigest("d" + d) - (1 << 63))
             grams = [xxhash.xxh64_intdigest(g) for g in trigrams(t)]
             mins = [min((a * g + c) & mask for g in grams) for a, c in seeds]
             for k in range(b_):

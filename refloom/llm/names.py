@@ -92,13 +92,17 @@ def trigrams(token: str) -> set[str]:
     return {p[i : i + 3] for i in range(len(p) - 2)}
 
 
+#: Tokens of so many letters may have two slips.
+TWO_SLIPS = 10
+
+
 def near(a: str, b: str) -> bool:
     """One insertion, deletion, substitution or swap of neighbours apart (or two in long tokens).
 
     Tokens of up to five letters are too alike by nature (Mei and Wei, Nick and Rick).
     """
     least = min(len(a), len(b))
-    return least > 5 and edit(a, b, 2) <= (2 if least >= 10 else 1)
+    return least > 5 and edit(a, b, 2) <= (2 if least >= TWO_SLIPS else 1)
 
 
 KNOWN_GIVEN = frozenset(NICKNAMES) | frozenset(w for v in NICKNAMES.values() for w in v.split())

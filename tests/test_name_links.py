@@ -1,4 +1,7 @@
-from refloom.llm.name_links import token_stars
+import random
+
+from refloom.llm.name_links import shortened, token_stars
+from refloom.llm.names import edit, near
 
 
 def _stars(spark, counts):
@@ -20,3 +23,21 @@ def test_slip_near_two_names_joins_the_nearer_one(spark):
     assert s["pledristeul"] == s["pledristelu"] == "pledristelu" and s["pledrostelu"] == "pledrostemu"
     s = _stars(spark, {"brastugrilo": 53, "brestugrila": 50, "brestugrlia": 3, "brestugrilos": 2})
     assert s["brestugrila"] == s["brestugrlia"] == "brestugrila" and s["brestugrilos"] == "brastugrilo"
+
+
+def test_every_near_pair_shares_a_shortened_form():
+    rng = random.Random(5)
+
+    def slip(t):
+        i = rng.randrange(len(t) - 1)
+        return rng.choice([t[:i] + t[i + 1] + t[i] + t[i + 2 :], t[:i] + t[i + 1 :], t[:i] + "q" + t[i:], t[:i] + "q" + t[i + 1 :]])
+
+    for _ in range(600):
+        t = "".join(rng.choices("aeioulnrst", k=rng.randint(6, 13)))
+        for u in (slip(t), slip(slip(t))):
+            if near(t, u) or edit(t, u, 1) <= 1:
+                assert shortened(t) & shortened(u), (t, u)
+
+
+def test_two_swaps_in_a_long_token_are_found(spark):
+    assert _stars(spark, {"ferwetohak": 9, "frewetoahk": 2}) == {"ferwetohak": "ferwetohak", "frewetoahk": "ferwetohak"}

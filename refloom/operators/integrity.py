@@ -3,8 +3,8 @@
 Every key has a ledger of events: a parent row arrives (+1), a parent row goes (-1), a reference is
 seen (0). Periods cut the ledger. The net change per key and period is combined map-side; a running
 sum over those few rows gives the state that each period opens with. Within a period a reference
-probes the parents that are there at that moment: with none it is an orphan. A new period needs only
-the opening state and its own events, so the ledger can be carried on without reading the past.
+probes the parents that are there at that moment: with none it is an orphan. All periods are computed
+in one batch from all events: no opening state is kept between runs, so a new period reads the past.
 
 Defined cases
 - null key: no reference, so no orphan. Empty key: a key like any other.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named by ``spark.checkpoint.dir``; set a local one only where none is set.
 
-    The fallback is for single-machine sessions (tests, notebooks): on a cluster the setting is
+    The fallback is for single-machine sessions (tests, notebooks) and goes when Python ends: on a cluster the setting is
     expected, since a machine-local folder would not survive the loss of that machine.
     """
     sc = spark.sparkContext
@@ -20,7 +22,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="refloom-ckpt-"))
+        folder = tempfile.mkdtemp(prefix="refloom-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 

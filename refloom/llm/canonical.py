@@ -24,29 +24,42 @@ _TIGHT_NUMBER = re.compile(rf"(?<![^\W_])(?:\d+(?:[{_DASH}]+|\s*(?:[{_DASH[1:]}]
 _VENUE = re.compile(r"^\W*(?:journal of|j\b|transactions on|trans\b|annals of|ann\b|proceedings of|proc\b)", re.UNICODE)
 
 
+class _Table(dict):
+    """Translation table that is filled as code points are met."""
+
+    def __init__(self, change) -> None:
+        self.change = change
+
+    def __missing__(self, code: int) -> str | int | None:
+        self[code] = out = self.change(chr(code))
+        return out
+
+
 def fold(s: str) -> str:
     """Compatible characters, lower case, no invisible characters, single blanks."""
-    s = unicodedata.normalize("NFKC", s).casefold()
-    return " ".join("".join(ch for ch in s if unicodedata.category(ch) != "Cf").split())
+    if not s.isascii():
+        s = unicodedata.normalize("NFKC", s).casefold().translate(_VISIBLE)
+    return " ".join(s.casefold().split())
 
 
 def _kept(ch: str) -> bool:
     return ch.isalnum() or unicodedata.category(ch)[0] == "M"
 
 
+_VISIBLE = _Table(lambda ch: None if unicodedata.category(ch) == "Cf" else ch)
+_LETTERS = _Table(lambda ch: ch if _kept(ch) else None)
+_GAPS = _Table(lambda ch: ch if _kept(ch) else "\x00")
+_APART = re.compile(r"(?<=\d)\x00+(?=\d)")
+
+
+def letters(s: str) -> str:
+    """Letters and digits of a string."""
+    return s.translate(_LETTERS)
+
+
 def squeeze(s: str) -> str:
     """Letters and digits only; digits that were apart stay apart."""
-    out: list[str] = []
-    gap = False
-    for ch in s:
-        if _kept(ch):
-            if gap and out and ch.isdigit() and out[-1].isdigit():
-                out.append("-")
-            out.append(ch)
-            gap = False
-        else:
-            gap = True
-    return "".join(out)
+    return _APART.sub("-", s.translate(_GAPS)).replace("\x00", "")
 
 
 def _carve(segments: list[str], wanted: str) -> tuple[list[str], bool]:
@@ -54,9 +67,9 @@ def _carve(segments: list[str], wanted: str) -> tuple[list[str], bool]:
     if not wanted:
         return segments, False
     for k, seg in enumerate(segments):
-        at = [i for i, ch in enumerate(seg) if _kept(ch)]
-        bare = "".join(seg[i] for i in at)
+        bare = letters(seg)
         i = bare.find(wanted)
+        at = [i for i, ch in enumerate(seg.translate(_GAPS)) if ch != "\x00"] if i >= 0 else []
         while i >= 0:
             a, b = at[i], at[i + len(wanted) - 1] + 1
             if (a == 0 or not _kept(seg[a - 1])) and (b == len(seg) or not _kept(seg[b])):
@@ -94,7 +107,7 @@ def raw_fields(raw: str, title: str | None, authors: list[str] | None) -> list[s
     fields: list[str] = []
     segments = [s]
     for part in (title, "".join(a or "" for a in authors or [])):
-        wanted = "".join(ch for ch in fold(part or "") if _kept(ch))
+        wanted = letters(fold(part or ""))
         for tail in ("etal", ""):  # the list of names may leave out an et al. that the raw string has
             segments, found = _carve(segments, wanted + tail if wanted else "")
             if found:
@@ -120,15 +133,19 @@ def raw_fields(raw: str, title: str | None, authors: list[str] | None) -> list[s
 
 
 def _number_fields(seg: str, numbers: list[re.Match], dashed: bool) -> list[str]:
-    """Year, volume with issue, pages. Between dashes a page range may stand as two numbers of its own."""
+    """Year, volume with issue, pages. Between dashes a page range may stand as two numbers of its own: the nearest
+    two in order that are no years. Without a volume beside them the range has to end before its start doubles."""
     out = ["#" + "-".join(re.findall(r"\d+", m[0])) for m in numbers]
     if not dashed:
         return out
-    close = [
-        (int(b[0]) - int(a[0]), k)
-        for k, (a, b) in enumerate(zip(numbers, numbers[1:], strict=False))
-        if a[0].isdigit() and b[0].isdigit() and seg[a.end() : b.start()].strip() == "-" and 0 <= int(b[0]) - int(a[0]) <= 60
-    ]
+    plain = [m[0].isdigit() and not 1500 <= int(m[0]) < 2100 for m in numbers]
+    volume = sum(plain) > 2 or any(not m[0].isdigit() for m in numbers)  # stands for itself, so two plain numbers are the pages
+    close = []
+    for k, (a, b) in enumerate(zip(numbers, numbers[1:], strict=False)):
+        if plain[k] and plain[k + 1] and seg[a.end() : b.start()].strip() == "-":
+            first, last = int(a[0]), int(b[0])
+            if first <= last and (volume or last < 2 * max(first, 10)):
+                close.append((last - first, k))
     if close and not any(re.fullmatch(rf"\d+\s*[{_DASH}]+\s*\d+", m[0]) for m in numbers):
         k = min(close)[1]
         out[k : k + 2] = [out[k] + "-" + out[k + 1][1:]]

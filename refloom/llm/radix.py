@@ -1,14 +1,14 @@
 """Collapsing equal byte strings by recursive radix partitioning and per-bucket tries.
 
 1. Split: rows are counted by the first bytes of their key. A bucket of more than ``capacity`` rows is
-   split by further bytes, level by level, until every bucket fits or its key is used up. Counts are
-   combined map-side; only the list of oversized buckets (at most rows/capacity of them a level) is
-   known to the driver.
+   split by the bytes that follow what all its keys begin with, level by level, until every bucket fits
+   or holds one key alone. A beginning that many keys share costs no level of its own. Buckets are told
+   by a hash of their bytes; the tables of oversized buckets (at most rows/capacity rows a level) stay
+   distributed and are broadcast only below a bound.
 2. Count: rows go to the task of their bucket, where a trie holds the keys. Its terminals count the
    copies and keep the smallest id.
-3. A key that fills a bucket by itself (a hot group) cannot be split by bytes. Its rows are dealt out
-   over slices by id; each slice counts in a trie of its own, the slices' terminals are added up, and
-   the rows meet the few hot keys' totals through a broadcast of at most rows/capacity keys.
+3. A key that fills a bucket by itself (a hot group) cannot be split by bytes. It is a trie of one
+   terminal, which is counted where its rows lie and added up; the rows then look up their total.
 
 Defined cases
 - null key: not a record, left out. Empty key: a key like any other.
@@ -21,14 +21,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from refloom.plans.lineage import cut
+from refloom.plans.skew import lookup_join
 
 #: Rows that one bucket's trie may hold: a few hundred bytes each, well within a Python worker.
 CAPACITY = 20_000
-#: Bytes added to a bucket's prefix per level.
+#: Bytes by which a bucket is split.
 STEP = 2
+#: Oversized buckets that are broadcast, 20 bytes each; more of them take a shuffle join.
+BROADCAST_ROWS = 100_000
+#: Levels after which the rows are written anew, so that plans stay small.
+LEVELS_A_CUT = 4
 
 
 class Trie:
@@ -67,53 +73,42 @@ class Trie:
         return cell
 
 
-def bucket_prefixes(keys: DataFrame, capacity: int = CAPACITY, step: int = STEP) -> tuple[list[bytes], list[bytes]]:
-    """Oversized prefixes that are split further, and prefixes that are whole keys and cannot be.
+def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the keys of a bucket part: length of what its least and its greatest key share."""
+    for b in batches:
+        widths = []
+        for x, y in zip(b.column("a").to_pylist(), b.column("z").to_pylist(), strict=True):
+            widths.append(next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y))))
+        hot = [x == y for x, y in zip(b.column("a").to_pylist(), b.column("z").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("bucket"), pa.array(widths, pa.int32()), pa.array(hot, pa.bool_())], names=["bucket", "shared", "alone"])
 
-    Both lists have at most rows/capacity entries for every level.
-    """
-    split: list[bytes] = []
-    whole: list[bytes] = []
-    level, frontier = 0, keys
-    while True:
-        width = (level + 1) * step
-        prefix = F.substring("key", 1, width)
-        big = frontier.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("z")).filter(F.col("n") > capacity).collect()
-        if not big:
-            return split, whole
-        more = []
-        for r in big:
-            (whole if r["a"] == r["z"] else more).append(bytes(r["p"]) if r["a"] != r["z"] else bytes(r["a"]))
-        if not more:
-            return split, whole
-        split += more
-        marks = keys.sparkSession.createDataFrame([(p,) for p in more], "p binary")
-        frontier = frontier.join(F.broadcast(marks), prefix == F.col("p"), "left_semi")
-        level += 1
+
+def oversized(rows: DataFrame, capacity: int) -> DataFrame:
+    """(bucket, shared, alone) of buckets with more than ``capacity`` rows: bytes that all keys share, and whether there is one key only."""
+    ends = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("z")).filter(F.col("n") > capacity)
+    return ends.select("bucket", "a", "z").mapInArrow(_branch, "bucket bigint, shared int, alone boolean")
 
 
-def _bucketed(rows: DataFrame, split: list[bytes], whole: list[bytes], step: int) -> DataFrame:
-    """Adds ``bucket`` (binary) and ``slice``: the shortest prefix that is not split further."""
-    spark = rows.sparkSession
-    if whole:
-        hot = spark.createDataFrame([(w, True) for w in whole], "key binary, hot boolean")
-        rows = rows.join(F.broadcast(hot), "key", "left")
-    else:
-        rows = rows.withColumn("hot", F.lit(None).cast("boolean"))
-    width = F.lit(step)
-    if split:
-        # Longest split prefix of each row: one small broadcast map per level.
-        levels = sorted({len(p) for p in split})
-        for n in levels:
-            marks = spark.createDataFrame([(p,) for p in split if len(p) == n], "mark binary")
-            rows = rows.join(F.broadcast(marks), F.substring("key", 1, n) == F.col("mark"), "left")
-            width = F.when(F.col("mark").isNotNull(), F.lit(n + step)).otherwise(width)
-            rows = rows.withColumn("width", width).drop("mark")
-            width = F.col("width")
-    else:
-        rows = rows.withColumn("width", width)
-    bucket = F.when(F.col("hot"), F.col("key")).otherwise(F.expr("substring(key, 1, width)"))
-    return rows.withColumn("bucket", bucket).drop("width")
+def _with(rows: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
+    """Rows with the facts of their bucket, if there are any."""
+    return rows.join(F.broadcast(buckets), "bucket", "left") if n <= BROADCAST_ROWS else lookup_join(rows, buckets, "bucket")
+
+
+def bucketed(rows: DataFrame, capacity: int = CAPACITY, step: int = STEP) -> tuple[DataFrame, int]:
+    """(id, key, bucket, hot) of (id, key), and the number of levels: no bucket but hot ones, of one key each, has more than ``capacity`` rows."""
+    placed = rows.select("id", "key", F.xxhash64(F.substring("key", 1, step)).alias("bucket"), F.lit(False).alias("hot"))
+    level = 0
+    while True:
+        big = cut(oversized(placed.filter("not hot"), capacity))
+        n = big.count()
+        if not n:
+            return placed, level
+        level += 1
+        finer = F.xxhash64("bucket", F.expr(f"substring(key, 1, shared + {step})"))
+        marked = _with(placed, big, n)
+        placed = marked.select("id", "key", F.when(F.col("alone") | F.col("shared").isNull(), F.col("bucket")).otherwise(finer).alias("bucket"), (F.col("hot") | F.coalesce("alone", F.lit(False))).alias("hot"))
+        if level % LEVELS_A_CUT == 0:
+            placed = cut(placed)
 
 
 def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,27 +118,13 @@ def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": pdf["id"].to_numpy(), "n_copies": [c[0] for c in cells], "first_id": [c[1] for c in cells]})
 
 
-def _count_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    trie, cells = Trie(), {}
-    for pdf in batches:
-        for k, i in zip(pdf["key"], pdf["id"], strict=True):
-            key = bytes(k)
-            cells[key] = trie.add(key, 1, int(i))
-    yield pd.DataFrame({"key": list(cells), "n": [c[0] for c in cells.values()], "least": [c[1] for c in cells.values()]})
-
-
 def copies(records: DataFrame, capacity: int = CAPACITY, step: int = STEP) -> DataFrame:
     """(id, n_copies, first_id) of every row of ``records`` (id bigint, key binary) with a key."""
-    rows = cut(records.select("id", "key").filter("key is not null"))
-    split, whole = bucket_prefixes(rows, capacity, step)
-    placed = _bucketed(rows, split, whole, step)
-    schema = "id bigint, n_copies bigint, first_id bigint"
-    cold = placed.filter("hot is null").select("id", "key", "bucket")
+    placed, levels = bucketed(cut(records.select("id", "key").filter("key is not null")), capacity, step)
     # Small buckets share tasks: the shuffle is by bucket, and AQE joins small partitions.
-    out = cold.groupBy("bucket").applyInPandas(_count_bucket, schema)
-    if whole:
-        hot = placed.filter("hot").select("id", "key")
-        # Rows stay where they are: each task counts its slice, then the few terminals are added up.
-        totals = hot.mapInPandas(_count_slices, "key binary, n bigint, least bigint").groupBy("key").agg(F.sum("n").alias("n_copies"), F.min("least").alias("first_id"))
-        out = out.unionByName(hot.join(F.broadcast(totals), "key").select("id", "n_copies", "first_id"))
-    return out
+    out = placed.filter("not hot").select("id", "key", "bucket").groupBy("bucket").applyInPandas(_count_bucket, "id bigint, n_copies bigint, first_id bigint")
+    if not levels:
+        return out
+    hot = cut(placed.filter("hot").select("id", "bucket"))
+    totals = cut(hot.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id").alias("first_id")))
+    return out.unionByName(_with(hot, totals, totals.count()).select("id", "n_copies", "first_id"))

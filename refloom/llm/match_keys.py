@@ -1,22 +1,21 @@
-"""Keys of a bibliographic description, from strict to weak, for exact joins.
+"""What two bibliographic descriptions are compared by: forms of the title, and names.
 
 Defined cases
-- null or blank title: the title is read from the raw string; without either there is no key.
-- kinds of papers (parts, comments, corrections, editions) are in every key, so they never mix.
-- null year, empty authors: keys with them are left out. Very long titles: a word may lack among the
-  first 40; the words after them are in every key.
-- titles cut short meet on their first letters; a pair counts if all of the shorter begins the longer but
-  for a slip.
+- null or blank title: the title is read from the raw string; without either there is no form.
+- kinds of papers (parts, comments, corrections, editions) are a form of their own, so they never mix.
+- null or empty authors: no names. Titles of any length: all words count.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-from itertools import combinations
+from collections import Counter
+from functools import lru_cache
 
-from refloom.llm.canonical import _KEY, _NUMBER, _TIGHT_NUMBER, _carve, _kept, _pieces, fold
+import xxhash
+
+from refloom.llm.canonical import _KEY, _NUMBER, _TIGHT_NUMBER, _Table, _carve, _pieces, fold, letters
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 # Shapes that scanners and readers take for each other, longer first.
@@ -29,20 +28,20 @@ _KIND = (
 _PART = re.compile(r"\b(?:part|pt|volume|vol)\.?\s+([ivx]+|\d+)\b")
 _EDITION = re.compile(r"\b(\d+(?:st|nd|rd|th)|first|second|third|fourth|fifth|revised|extended|abridged|new)\s+(?:ed|edn|edition|version)\b")
 _AGAIN = re.compile(r"\b(?:revisited|reconsidered|reloaded|continued|extended abstract|a sequel|sequel)$")
-#: The rule whose keys hold only the beginning of a title.
-BEGINNING = 12
-#: Words of a title that may each lack in the other title.
-MOST_WORDS = 40
 _PARTICLES = frozenset("van von de la der den di da del al dr prof jr sr et the mc and".split())
 
 
+_BARE = _Table(lambda c: None if unicodedata.category(c) in ("Mn", "Cf") else c)
+
+
 def plain(s: str) -> str:
     """Lower case ASCII where it can be, tags and accents gone."""
-    s = unicodedata.normalize("NFKD", _TAG.sub("", s)).casefold()
-    s = "".join(c for c in s if unicodedata.category(c) not in ("Mn", "Cf"))
-    for a, b in (("ø", "o"), ("ł", "l"), ("đ", "d"), ("æ", "ae"), ("œ", "oe"), ("ð", "d"), ("&amp;", "and"), ("&", " and "), ("w/", "with ")):
-        s = s.replace(a, b)
-    return s
+    s = _TAG.sub("", s).casefold()
+    if not s.isascii():
+        s = unicodedata.normalize("NFKD", s).casefold().translate(_BARE)
+        for a, b in (("ø", "o"), ("ł", "l"), ("đ", "d"), ("æ", "ae"), ("œ", "oe"), ("ð", "d")):
+            s = s.replace(a, b)
+    return s.replace("&amp;", "and").replace("&", " and ").replace("w/", "with ")
 
 
 def title_of_raw(raw: str | None, authors: list[str] | None) -> str | None:
@@ -54,7 +53,7 @@ def title_of_raw(raw: str | None, authors: list[str] | None) -> str | None:
     for m, nxt in zip(keys, [*keys[1:], None], strict=False):
         if m[1] == "title":
             return s[m.end() : nxt.start() if nxt else len(s)].strip(" {}\",;|")
-    wanted = "".join(ch for a in authors or [] for ch in fold(a or "") if _kept(ch))
+    wanted = letters("".join(fold(a or "") for a in authors or []))
     segments, _ = _carve([s], wanted)
     dashed = "|" not in s and len(re.findall(r"(?<=\S)\s-\s(?=\S)", s)) > 1
     number = _TIGHT_NUMBER if dashed else _NUMBER
@@ -70,6 +69,12 @@ def title_of_raw(raw: str | None, authors: list[str] | None) -> str | None:
     return best.strip(" .,;|-\"'“”") or None
 
 
+@lru_cache(1 << 16)
+def _word(s: str) -> str:
+    """:func:`_skeleton` of a word; words repeat."""
+    return _skeleton(s)
+
+
 def _skeleton(s: str) -> str:
     for a, b in CONFUSED:
         s = s.replace(a, b)
@@ -77,7 +82,8 @@ def _skeleton(s: str) -> str:
 
 
 def title_forms(title: str) -> dict | None:
-    """kind, whole (squeezed), core (without a name before the colon, shapes merged) and words."""
+    """Forms of a title: kind, whole (squeezed), core (without a name before the colon, shapes merged) and its
+    words, main and tail (before and after the colon), skeleton (the whole with shapes merged)."""
     s = plain(title)
     s = re.sub(r"-\s+|-(\w)-\s+", lambda m: m[1] or "", s)
     flat = " ".join(re.sub(r"[^\w\s:]+", " ", s).split())
@@ -98,105 +104,47 @@ def title_forms(title: str) -> dict | None:
     head, colon, rest = base.partition(":")
     name = bool(colon) and len(head.split()) == 1 and len(rest.split()) > 2
     core = rest if name else base
-    core_words = [_skeleton(w) for w in re.sub(r"[:_]", " ", core).split() if w not in STOP]
+    core_words = [_word(w) for w in re.sub(r"[:_]", " ", core).split() if w not in STOP]
     n_tail = len([w for w in core.rpartition(":")[2].split() if w not in STOP])
     main = core.rpartition(":")[0] if ":" in core else ""
-    return {"kind": kind, "whole": whole, "core": "".join(core_words), "words": core_words[:MOST_WORDS], "more": core_words[MOST_WORDS:], "name": _skeleton(head) if name else "", "main": _skeleton(re.sub(r"[\W_]+", "", main)) if len(main.split()) > 3 else "", "tail": "".join(core_words[-n_tail:]) if n_tail >= 4 else ""}
+    return {
+        "kind": kind, "whole": whole, "core": "".join(core_words), "words": core_words, "main": _skeleton(re.sub(r"[\W_]+", "", main)) if len(main.split()) > 3 else "",
+        "tail": "".join(core_words[-n_tail:]) if n_tail >= 4 else "", "skeleton": _skeleton(whole),
+    }
 
 
 def name_tokens(authors: list[str] | None) -> list[str]:
-    """Surname-like tokens: words of three letters and more, shapes merged, particles left out."""
+    """Names of two letters and more, shapes merged, particles left out.
+
+    Two capitals beside a name in mixed case are initials (Wu LB), no name.
+    """
     out: set[str] = set()
     for a in authors or []:
+        mixed = a != (a or "").upper()
+        initials = {m.casefold() for m in re.findall(r"(?<!\w)[A-Z]{2}(?!\w)", a or "")} if mixed else set()
         for w in re.split(r"[^\w]+", plain(a or "")):
             w = re.sub(r"[\d_]+", "", w)
-            if len(w) > 3 and w not in _PARTICLES:
-                out.add(_skeleton(w))
+            if len(w) > 1 and w not in _PARTICLES and w not in initials:
+                out.add(_word(w))
     return sorted(out)
 
 
-def stage_keys(stage: int, title: str | None, authors: list[str] | None, year: int | None, raw: str | None = None, paper: bool = False) -> Iterator[tuple[int, str, str | None]]:
-    """(rule, key, form) of a description for one stage of the cascade.
-
-    ``form`` is the whole title, shapes merged, where the key holds only its beginning.
-    """
+def described(title: str | None, authors: list[str] | None, raw: str | None) -> dict | None:
+    """What the rules compare: kind, whole, core, main, tail and skeleton of the title, its words, the names."""
     title = title if title and title.strip() else title_of_raw(raw, authors)
     f = title_forms(title) if title else None
-    if f is None:
-        return
-    for rule, key in _rule_keys(stage, f, name_tokens(authors), year, paper):
-        yield rule, key, _skeleton(f["whole"]) if rule == BEGINNING else None
-
-
-def _rule_keys(stage: int, f: dict, names: list[str], year: int | None, paper: bool) -> Iterator[tuple[int, str]]:
-    k, more = f["kind"], f["more"]
-    y = str(year) if year else None
-    if stage == 0:
-        forms = ((0, f["whole"]), (3, f["core"]))
-        for base, form in forms:
-            if len(form) < 8:
-                continue
-            for n in names:
-                if y:
-                    yield base, f"{k}|{form}|{n}|{y}"
-                yield base + 1, f"{k}|{form}|{n}"
-            if y:
-                yield base + 2, f"{k}|{form}||{y}"
-    elif stage == 1:
-        w = f["words"]
-        if len(w) >= 4:
-            for i in range(len(w)):
-                form = " ".join(w[:i] + w[i + 1 :] + more)
-                for n in names:
-                    yield 6, f"{k}|{form}|{n}"
-                if y:
-                    yield 7, f"{k}|{form}||{y}"
-            # the title as given may itself lack the word
-            form = " ".join(w + more)
-            for n in names:
-                yield 6, f"{k}|{form}|{n}"
-            if y:
-                yield 7, f"{k}|{form}||{y}"
-        if f["main"]:
-            for n in names:
-                yield 8, f"{k}|{f['main']}|{n}"
-        for n in names:
-            yield 8, f"{k}|{f['core']}|{n}"
-    elif stage == 2:
-        w = f["words"]
-        if len(w) >= 6:
-            for drop in combinations(range(len(w)), 2):
-                form = " ".join([x for i, x in enumerate(w) if i not in drop] + more)
-                for n in names:
-                    yield 9, f"{k}|{form}|{n}"
-            for i in range(len(w)):  # one of the two lacks in this title already
-                form = " ".join(w[:i] + w[i + 1 :] + more)
-                for n in names:
-                    yield 9, f"{k}|{form}|{n}"
-        if len(w) >= 4:  # both lack in this title already
-            form = " ".join(w + more)
-            for n in names:
-                yield 9, f"{k}|{form}|{n}"
-        if f["tail"]:  # the part before the colon left out
-            for n in names:
-                yield 13, f"{k}|{f['tail']}|{n}"
-        # either title may be cut short
-        for n in names:
-            if y and len(f["whole"]) >= 24:
-                yield BEGINNING, f"{k}|{f['whole'][:24]}|{n}|{y}"
-            if len(f["whole"]) >= 34:
-                yield BEGINNING, f"{k}|{f['whole'][:34]}|{n}"
-    elif stage == 3:
-        # names with a slip of the pen keep their beginning or their end
-        for n in names:
-            yield 14, f"{k}|{f['core']}|^{n[:4]}"
-            yield 14, f"{k}|{f['core']}|{n[-4:]}$"
-        # the title alone, unless both sides have authors: those would have met above
-        sides = ("n", "e" if paper else "p") if not names else ("p" if paper else "e",)
-        for side in sides:
-            if y:
-                yield 10, f"{k}|{f['core']}|{side}|a{int(y) // 2}"
-                yield 10, f"{k}|{f['core']}|{side}|b{(int(y) + 1) // 2}"
-            yield 11, f"{k}|{f['whole']}|{side}"
-            if len(f["words"]) >= 5:
-                yield 15, f"{k}|{f['core']}|{side}"
+    return f | {"names": name_tokens(authors)} | dict(zip(("words", "again"), numbered(f["words"]), strict=True)) if f else None
+
+
+def numbered(words: list[str]) -> tuple[list[int], list[int]]:
+    """Hashes of the words, those that come again told apart, and hashes of all words that come more than once."""
+    n = Counter(words)
+    seen: Counter[str] = Counter()
+    out, again = [], []
+    for w in words:
+        h = xxhash.xxh64_intdigest(w, seen[w]) - (1 << 63)
+        seen[w] += 1
+        out.append(h)
+        if n[w] > 1:
+            again.append(h)
+    return out, again

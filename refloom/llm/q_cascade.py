@@ -28,11 +28,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Matching pairs with rule and confidence."""
     entries, papers = _sides(spark, d)
-    found = cut(C.cascade(entries, papers))
-    conf = C.rule_precision(entries, papers, found)  # a row per rule
-    out = found.join(F.broadcast(conf), "rule", "left")
+    papers = C.read_forms(papers, "string")
+    found = C.match_forms(C.read_forms(entries, "bigint"), papers)
+    conf = cut(C.rule_precision(papers))
+    out = found.join(F.broadcast(conf), "rule", "left")  # a row per rule: sixteen at most
     return out.select(F.col("id").alias("entry_id"), "paper_id", "rule", F.round(F.coalesce("confidence", F.lit(0.5)), 6).alias("confidence"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_confidence": p5_confidence}
+def p5_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence of every rule with the number of labelled matches it rests on."""
+    return C.rule_precision(C.read_forms(_sides(spark, d)[1], "string")).select("rule", "n_labelled", F.round("confidence", 6).alias("confidence"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_confidence": p5_confidence, "p5_rules": p5_rules}
 ORACLES: dict[str, str] = {}

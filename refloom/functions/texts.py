@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 #: Pieces that tile a text: everything up to and with a run of terminators.
 TILE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 #: Letters that appear in formulas, hardly in prose; fixed values.
-MATH = r"[\x{1D400}-\x{1D7FF}ℂℍℕℙℚℝℤ∈∉∋∀∃∅⊂⊃⊆⊇⊕⊗]"
+MATH = "[\U0001d400-\U0001d7ffℂℍℕℙℚℝℤ∈∉∋∀∃∅⊂⊃⊆⊇⊕⊗]"
 #: Words without weight in search queries; fixed values.
 STOPWORDS = ("the", "and", "for", "with", "from", "into", "over", "under", "this", "that", "these", "those", "their", "there", "where", "which", "what", "when", "while", "using", "based", "via", "novel", "towards", "toward", "against")
 #: Colours of keywords, in display order; fixed values.

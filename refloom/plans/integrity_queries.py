@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from refloom.operators.integrity import clean_key, orphan_report, orphans, parent_events
+from refloom.operators.integrity import State, advance, clean_key, parent_events, snapshot, standing_events
 from refloom.sources.tables import table
 
 
@@ -25,26 +25,47 @@ def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
         edges.select(c("edge_id").alias("row_id"), "seen_at", F.explode(ends).alias("e")).select("e.kind", "row_id", "e.key", "seen_at")
     )
     events = parent_events(bib, _pair(c("paper_id"), c("bib_key")), c("added_at"), c("removed_at")).unionByName(parent_events(nodes, node(c("paper_id")), c("added_at"), c("removed_at")))
-    return refs, events, base.select(node(c("paper_id")).alias("key")).filter("key is not null")
+    return refs, events, standing_events(base.select(node(c("paper_id")).alias("key")).distinct())
 
 
 def _split(df: DataFrame) -> list[Column]:
     return [F.substring_index("kind", ".", 1).alias("ref_table"), F.substring_index("kind", ".", -1).alias("ref_field")]
 
 
+def _maintained(spark: SparkSession, d: str) -> tuple[State, DataFrame]:
+    """The state after two steps: all that happened before the last half year of references, then that half year."""
+    refs, events, standing = _inputs(spark, d)
+    split = refs.agg((F.date_trunc("month", F.max("seen_at")).cast("timestamp_ntz") - F.expr("interval 6 months")).alias("t")).first()["t"]
+    old_refs, old_events = (F.coalesce(F.col(c) < F.lit(split).cast("timestamp_ntz"), F.lit(True)) for c in ("seen_at", "ts"))
+    state, _ = advance(State.empty(spark), refs.filter(old_refs), events.filter(old_events).unionByName(standing))
+    return advance(state, refs.filter(~old_refs), events.filter(~old_events))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per orphan reference."""
-    df = orphans(*_inputs(spark, d))
+    df = _maintained(spark, d)[0].orphans()
     return df.select(*_split(df), "row_id")
 
 
+def p7_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What the last step of the maintained state changed: new orphans, resolved and reopened ones, per field."""
+    df = _maintained(spark, d)[1]
+    return df.groupBy("kind", "change").agg(F.count(F.lit(1)).alias("n")).select(*_split(df), "change", "n")
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """References, orphans and waiting orphans per table, field and month of seen_at."""
-    df = orphan_report(*_inputs(spark, d))
+    df = snapshot(_maintained(spark, d)[0]).filter("n_refs > 0")
     return df.select(*_split(df), F.date_format("period", "yyyy-MM").alias("period"), "n_refs", "n_orphans", "n_waiting")
 
 
-QUERIES = {"p7_found": p7_found, "p7_report": p7_report}
+def p7_waiting(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans waiting at the end of every month, months without references too."""
+    df = snapshot(_maintained(spark, d)[0])
+    return df.select(*_split(df), F.date_format("period", "yyyy-MM").alias("period"), "n_waiting")
+
+
+QUERIES = {"p7_found": p7_found, "p7_changes": p7_changes, "p7_report": p7_report, "p7_waiting": p7_waiting}
 
 _REFS = r"""
 with nodes as (
@@ -81,4 +102,12 @@ lost as (select ref_table, ref_field, date_trunc('month', seen_at) m, count(*) n
 select ref_table, ref_field, strftime(m, '%Y-%m') as period, seen.n n_refs, coalesce(lost.n, 0) n_orphans, coalesce(wait.n, 0) n_waiting
 from seen left join lost using (ref_table, ref_field, m) left join wait using (ref_table, ref_field, m)
 """
-ORACLES = {"p7_found": _FOUND + "select ref_table, ref_field, row_id from found", "p7_report": _REPORT}
+_CHANGES = _FOUND + """, y as (select date_trunc('month', max(seen_at)) - interval 6 month y from (select seen_at from inl union all select seen_at from ends))
+select ref_table, ref_field, 'orphan' change, count(*) n from found where seen_at >= (select y from y) group by all
+"""
+_WAITING = _REPORT.replace("months as (select distinct date_trunc('month', seen_at) m from refs)", "months as (select unnest(generate_series((select date_trunc('month', min(seen_at)) from refs), (select max(seen_at) from refs), interval 1 month)) m)")
+_WAITING = _WAITING[: _WAITING.rindex("select ref_table")] + """, firsts as (select ref_table, ref_field, min(m) f from seen group by all)
+select ref_table, ref_field, strftime(months.m, '%Y-%m') as period, coalesce(wait.n, 0) n_waiting
+from firsts join months on months.m >= f left join wait using (ref_table, ref_field, m)
+"""
+ORACLES = {"p7_changes": _CHANGES, "p7_waiting": _WAITING, "p7_found": _FOUND + "select ref_table, ref_field, row_id from found", "p7_report": _REPORT}

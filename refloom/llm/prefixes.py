@@ -1,59 +1,131 @@
-"""Self-join by prefix: which values are strict prefixes of longer values elsewhere.
+"""Self-join by prefix: which values are strict prefixes of longer values elsewhere, and which stand as a whole.
 
-Distinct values are put in one global order (range partitions, sorted within). In that order every
-extension of a value follows it directly, so a look at the next value decides, without any pair being
-formed. The first values of the partitions, one each, are passed along for the look across a
-partition's end.
+Values are compared through hashes of prefixes of fixed lengths. A value that is asked about has one key:
+the hash of its longest prefix of such a length; what is left of it is its rest. The values of the corpus
+give a key for each of those lengths, with the stretch that follows up to the next length. The two meet on
+the key, and the value is a strict prefix if the stretch goes on after its rest. Neighbouring lengths are
+close, so a key has few different stretches however many values share it, and they are combined before
+they move. A filter of fixed size over the keys asked about keeps all other keys from being made into rows.
 
 Defined cases
 - null and empty values: left out. Equal values are one value; a value does not extend itself.
-- comparison is by code point of the value as given.
+- comparison is by code point of the value as given; keys are 64 bits.
 - an empty table gives an empty result. A value held by a third of all rows is combined map-side.
+- a filter that is full lets all keys pass: slower, with the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from refloom.plans.lineage import cut
+from refloom.plans.skew import salted_join
 
+#: Bits of the filter over keys: one megabyte.
+BITS = 1 << 23
 
-def extensions(values: DataFrame) -> DataFrame:
-    """(value, asked, whole) with repeats -> (value, whole, extended, at_break) of every value that was asked for.
 
-    ``asked``: the value is looked up; ``whole``: it stands somewhere as a whole; ``at_break``: the least
-    value that extends it goes on with a line break, which sorts before all print.
+def _lengths() -> tuple[int, ...]:
+    """1 to 8, then a quarter longer each time."""
+    out = list(range(1, 9))
+    while out[-1] < 1 << 30:
+        out.append(out[-1] + max(1, out[-1] // 4))
+    return tuple(out)
+
+
+LENGTHS = _lengths()
+
+
+def _key(kind: str, length: int, s: str) -> int:
+    return xxhash.xxh64_intdigest(f"{kind}{length}\x1f{s}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def prefix_key(kind: str, value: str) -> tuple[int, str]:
+    """(key, rest) of a value that is asked about."""
+    p = LENGTHS[bisect_right(LENGTHS, len(value)) - 1]
+    return _key(kind, p, value[:p]), value[p:]
+
+
+def whole_key(kind: str, value: str) -> tuple[int, str]:
+    """(key, rest) that asks whether a value stands as a whole."""
+    return _key(kind, 0, value), ""
+
+
+def standing_keys(kind: str, value: str) -> Iterator[tuple[int, str]]:
+    """(key, stretch) of a value that stands in the corpus, for :func:`prefix_key`."""
+    for k, p in enumerate(LENGTHS):
+        if p > len(value):
+            return
+        yield _key(kind, p, value[:p]), value[p : LENGTHS[k + 1] + 1]
+
+
+class Filter:
+    """Set of hashed keys of fixed size; may hold more than was put in, never less."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words.tobytes()
+
+    @staticmethod
+    def of(asked: DataFrame) -> Filter:
+        """Filter over the column ``key``."""
+        place = F.pmod("key", F.lit(BITS))
+        bits = asked.groupBy(F.floor(place / 8).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(key, {BITS}) % 8 as int))")).alias("b"))
+        words = np.zeros(BITS // 8, dtype=np.uint8)
+        for w, b in bits.collect():  # at most BITS / 8 rows
+            words[w] = b
+        return Filter(words)
+
+    def __contains__(self, key: int) -> bool:
+        p = key % BITS
+        return self.words[p >> 3] >> (p & 7) & 1 == 1
+
+
+def key_rows(rows: Iterable[tuple[int, str]]) -> pa.RecordBatch:
+    """Distinct (key, stretch) rows of a batch."""
+    cols = list(zip(*rows, strict=True)) or [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], names=["key", "stretch"])
+
+
+STANDING = "key bigint, stretch string"
+
+
+def answered(asked: DataFrame, standing: DataFrame, says: dict[str, Column]) -> DataFrame:
+    """(key, rest, kind) distinct rows of ``asked`` with the columns of ``says``: whether any stretch of the key says so.
+
+    ``says`` are conditions over kind, rest and stretch.
     """
-    one = values.filter("value is not null and value <> ''").groupBy("value").agg(F.max("asked").alias("asked"), F.max("whole").alias("whole"))
-    ordered = cut(one.repartitionByRange("value").sortWithinPartitions("value"))
-    firsts = {r["p"]: r["v"] for r in ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.min("value").alias("v")).collect()}
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = TaskContext.get().partitionId()
-        later = [firsts[p] for p in sorted(firsts) if p > here]
-        held: tuple | None = None
-        for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-            if held:
-                rows.insert(0, held)
-            out = [(v, w, *_goes_on(v, nxt[0])) for (v, a, w), nxt in zip(rows, rows[1:], strict=False) if a]
-            held = rows[-1] if rows else None
-            yield _batch(out)
-        if held and held[1]:
-            yield _batch([(held[0], held[2], *_goes_on(held[0], later[0] if later else ""))])
+    one = cut(asked.select("key", "rest", "kind").distinct())
+    there = cut(standing.distinct())
+    met = salted_join(one, there, "key")
+    return met.groupBy("key", "rest", "kind").agg(*(F.max(c).alias(k) for k, c in says.items()))
+
 
-    return ordered.mapInArrow(look, "value string, whole boolean, extended boolean, at_break boolean")
+def goes_on() -> Column:
+    """Does the stretch go on after the rest?"""
+    return F.col("stretch").startswith(F.col("rest")) & (F.length("stretch") > F.length("rest"))
 
 
-def _goes_on(value: str, after: str) -> tuple[bool, bool]:
-    return after.startswith(value), after.startswith(value) and after[len(value) :].lstrip(" \t")[:1] in ("\n", "\r")
+def extensions(values: DataFrame) -> DataFrame:
+    """(value) with repeats -> (value, extended) of every distinct value: is it a strict prefix of another?"""
+    one = cut(values.filter("value is not null and value <> ''").select("value").distinct())
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [prefix_key("v", v) for v in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in keys], pa.int64()), pa.array([r for _, r in keys], pa.string())], names=["value", "key", "rest"])
+
+    asked = cut(one.mapInArrow(ask, "value string, key bigint, rest string").withColumn("kind", F.lit("v")))
+    wanted = Filter.of(asked)
+
+    def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield key_rows({x for v in b.column(0).to_pylist() for x in standing_keys("v", v) if x[0] in wanted})
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    types = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["value", "whole", "extended", "at_break"])
+    facts = answered(asked, one.mapInArrow(stand, STANDING), {"extended": goes_on()})
+    return asked.join(facts, ["key", "rest", "kind"]).select("value", "extended")

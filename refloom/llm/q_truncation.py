@@ -29,15 +29,20 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return per.join(limit, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "n_docs", "n_cut", F.round(F.col("n_cut") / F.col("n_docs"), 6).alias("cut_share"), "usual_length", "n_at_usual_length")
 
 
+def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What decided that texts were cut: unit, pair, word, line or copy are the prefix join's, mark and ending are the text's own."""
+    return _judged(spark, d)[1].filter("is_cut").groupBy("kind", "evidence").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p10_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """Texts that are strict prefixes of longer texts elsewhere, with the number of documents that hold them."""
     docs = table(spark, d, "documents").filter("text is not null and text <> ''")
-    facts = extensions(docs.select(F.col("text").alias("value"), F.lit(True).alias("asked"), F.lit(True).alias("whole")))
+    facts = extensions(docs.select(F.col("text").alias("value")))
     n = docs.groupBy("text").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc_id"))
     return facts.filter("extended").join(n, F.col("value") == F.col("text")).select("first_doc_id", "n_docs", F.length("value").alias("n_chars").cast("bigint"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_sources": p10_sources, "p10_prefixes": p10_prefixes}
+QUERIES = {"p10_found": p10_found, "p10_sources": p10_sources, "p10_evidence": p10_evidence, "p10_prefixes": p10_prefixes}
 ORACLES = {
     "p10_prefixes": """
 with t as (select text, count(*) n_docs, min(doc_id) first_doc_id from documents where text <> '' group by 1),

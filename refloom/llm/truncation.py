@@ -1,17 +1,21 @@
 """Texts that were cut before their end.
 
-Every text gives up its last unit, last word and last line; all texts together give the units, words
-and lines that stand in them before their ends. The prefix join tells for each last part whether it
-is a strict prefix of something longer elsewhere, and whether it stands somewhere as a whole. What
-the text ends in decides which of these counts:
-
-- a text whose last unit is a strict prefix of a longer one was cut there; so was a text that ends in a
-  list item, label, link, formula, heading or line of code and that a longer text continues in that line,
-  unless that line stands as a whole somewhere;
-- a unit without terminator was cut, unless it is a title, heading, label, list item or link;
+Every text asks about its end: is its last unit, last line, last word or the whole text a strict prefix of
+a longer one elsewhere, does it stand somewhere as a whole, and does what follows its last but one word
+elsewhere go on beyond its last one? The prefix join answers for all texts at once from the units, lines,
+words and pairs of words that stand in all texts. What the text ends in decides which answers count:
+
+- a text whose last unit is a strict prefix of a longer one, and nowhere a whole unit, was cut there; so
+  was a text that ends in a list item, label, link, formula, heading or line of code and that a longer text
+  continues in that line, unless that line stands as a whole somewhere;
+- a unit without terminator was cut if a longer one, or its last two words elsewhere, go on after it; if no
+  copy of its end stands anywhere, the missing terminator alone decides;
 - an abbreviation's stop ends no sentence; an ellipsis or a title does only after a whole word;
 - in scripts without terminators the last letters must be ones that end units elsewhere.
 
+``evidence`` names what decided: unit, pair, word, line or copy (the join), mark (a note that the text goes
+on) or ending (no copy stands).
+
 Defined cases
 - null, empty and blank texts: not cut. Repeated texts: each row is judged, all alike.
 - null source: reported as a source of its own (null). Texts of any length are read whole.
@@ -20,7 +24,6 @@ Defined cases
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -28,18 +31,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from refloom.llm.endings import ending, is_open_word, split_mark
-from refloom.llm.prefixes import extensions
+from refloom.llm.prefixes import STANDING, Filter, answered, goes_on, key_rows, prefix_key, standing_keys, whole_key
 from refloom.llm.sentences import sentence_spans
 from refloom.plans.lineage import cut
 from refloom.plans.skew import lookup_join
 
-#: Letters at the end of a unit that are compared in scripts without terminators.
+#: Letters at the end of a unit that are compared in scripts without terminators: about a final particle with the syllable before it.
 SUFFIX = 6
 #: Kinds of endings that need no terminator: only a longer copy of the text tells that they were cut.
 IN_LINE = ("list", "label", "link", "formula", "code", "heading", "line")
+#: Stands after the last word of a unit.
+LAST = "\x1e"
 _WORD = re.compile(r"[^\W\d_]+")
 _ELLIPSIS = re.compile(r"\s*(?:\.\.\.|…)$")
 _CITES = re.compile(r"(?<=[.!?।॥؟。！？”»\"」])(?:\s?\[\d[\d,\s–-]*\])+$")
+_BREAKS = re.compile(r"[ \t]+(?=\n)")
+_SPACELESS = re.compile(r"[฀-໿က-႟ក-៿]")
+
+
+def _bare(unit: str) -> str:
+    return _ELLIPSIS.sub("", _CITES.sub("", unit))
 
 
 def last_parts(text: str | None) -> dict | None:
@@ -53,87 +64,113 @@ def last_parts(text: str | None) -> dict | None:
     dots = bool(_ELLIPSIS.search(s))
     unit = _ELLIPSIS.sub("", unit) if dots else _CITES.sub("", unit)
     words = _WORD.findall(unit)
+    asks: list[tuple[str, tuple[int, str]]] = []
+    if unit:
+        asks += [("unit", prefix_key("u", unit)), ("unit_whole", whole_key("u", unit))]
+    if words and unit.endswith(words[-1]) and (dots or kind in ("title", "spaceless", "line", "open")):
+        w = words[-1].lower()
+        asks += [("word", prefix_key("w", w)), ("word_whole", whole_key("w", w))]
+    line = re.split(r"[\n\r]+", s.strip())[-1].strip()
+    if kind in IN_LINE:
+        asks += [("line_whole", whole_key("l", line)), ("copy", prefix_key("c", _BREAKS.sub("", s)))]
+    if kind == "spaceless":
+        asks.append(("tail_whole", whole_key("s", s[-SUFFIX:])))
+    tokens = unit.split()
+    if kind in ("open", "abbreviation") and len(tokens) > 1:
+        asks.append(("pair", prefix_key("p" + tokens[-2] + "\x1f", tokens[-1])))
     return {
-        "kind": kind,
-        "mark": mark,
-        "dots": dots,
-        "unit": "u\x1f" + unit,
-        "word": "w\x1f" + words[-1].lower() if words and unit.endswith(words[-1]) else None,
-        "line": "l\x1f" + re.split(r"[\n\r]+", s.strip())[-1].strip(),
-        "tail": "s\x1f" + s[-SUFFIX:] if kind == "spaceless" else None,
-        "open_word": is_open_word(s.split()[-1]),
-        "copy": hashlib.md5(s.encode()).hexdigest() if kind in IN_LINE else None,
-        "body": spans[:-1],
-    }
-
-
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct values of a batch of texts: what is asked for, and what stands as a whole."""
-    for b in batches:
-        asked: set[str] = set()
-        whole: set[str] = set()
-        for text in b.column(0).to_pylist():
-            p = last_parts(text)
-            if p is None:
-                continue
-            asked |= {p[k] for k in ("unit", "word", "line", "tail") if p[k]}
-            copy = "c\x1f" + split_mark(text)[0]
-            whole.add(copy)
-            if p["copy"]:
-                asked.add(copy)
-            units = [text[x:y] for x, y in p["body"]]
-            whole.update("u\x1f" + _ELLIPSIS.sub("", _CITES.sub("", u)) for u in units)
-            whole.update("w\x1f" + w.lower() for u in units for w in _WORD.findall(u))
-            whole.update("s\x1f" + u[-SUFFIX:] for u in units if u and ord(u[-1]) > 0xDFF or u[-1:] in "%")
-            whole.update("l\x1f" + x.strip() for x in re.split(r"[\n\r]+", text.strip())[:-1])
-        rows = sorted(asked | whole)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.string()), pa.array([r in asked for r in rows], pa.bool_()), pa.array([r in whole for r in rows], pa.bool_())], names=["value", "asked", "whole"]
-        )
-
-
-_PARTS = (("kind", pa.string()), ("mark", pa.bool_()), ("dots", pa.bool_()), ("unit", pa.string()), ("word", pa.string()), ("line", pa.string()), ("tail", pa.string()), ("open_word", pa.bool_()), ("copy", pa.string()))
+        "kind": kind, "mark": mark, "dots": dots, "open_word": is_open_word(s.split()[-1]), "copy": _BREAKS.sub("", s),
+        "units": [_bare(text[a:b]) for a, b in spans[:-1]], "asks": [{"fact": f, "key": k, "rest": r} for f, (k, r) in asks],
+    }
+
+
+_ASK = pa.struct([("fact", pa.string()), ("key", pa.int64()), ("rest", pa.string())])
+_PARTS = (("kind", pa.string()), ("mark", pa.bool_()), ("dots", pa.bool_()), ("open_word", pa.bool_()), ("copy", pa.string()), ("units", pa.list_(pa.string())), ("asks", pa.list_(_ASK)))
+_BLANK = {"kind": "blank", "mark": False, "dots": False, "open_word": False, "copy": None, "units": [], "asks": []}
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blank = {"kind": "blank", "mark": False, "dots": False, "open_word": False}
     for b in batches:
-        parts = [last_parts(t) or blank for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([p.get(k) for p in parts], t) for k, t in _PARTS)], names=["id", *(k for k, _ in _PARTS)])
+        parts = [last_parts(t) or _BLANK for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([p[k] for p in parts], t) for k, t in _PARTS)], names=["id", *(k for k, _ in _PARTS)])
+
+
+def _standing(wanted: Filter):
+    """Keys of all that stands in a batch of texts, as far as anyone asks for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            units: set[str] = set()
+            pairs: set[tuple[str, str]] = set()
+            words: set[str] = set()
+            out: set[tuple[int, str]] = set()
+            for copy, own in zip(b.column("copy").to_pylist(), b.column("units").to_pylist(), strict=True):
+                if copy is None:
+                    continue
+                out.update(x for x in standing_keys("c", copy) if x[0] in wanted)
+                out.update(x for line in re.split(r"[\n\r]+", copy.strip())[:-1] if (x := whole_key("l", line.strip()))[0] in wanted)
+                units.update(own)
+            for u in units:
+                tokens = u.split()
+                if tokens:
+                    tokens[-1] += LAST
+                    pairs.update(zip(tokens, tokens[1:], strict=False))
+                    words.update(tokens)
+                if u and (_SPACELESS.match(u[-1]) or u[-1] == "%") and (x := whole_key("s", u[-SUFFIX:]))[0] in wanted:
+                    out.add(x)
+            for kind, values in (("u", units), ("w", {w.lower() for t in words for w in _WORD.findall(t)})):
+                for v in values:
+                    if not v:
+                        continue
+                    if (x := whole_key(kind, v))[0] in wanted:
+                        out.add(x)
+                    out.update(x for x in standing_keys(kind, v) if x[0] in wanted)
+            for a, after in pairs:
+                out.update(x for x in standing_keys("p" + a + "\x1f", after) if x[0] in wanted)
+            yield key_rows(out)
+
+    return run
+
+
+def facts_of(parts: DataFrame) -> DataFrame:
+    """(row, fact) of every answer that is yes."""
+    asks = parts.select("row", F.explode("asks").alias("a")).select("row", F.col("a.fact").alias("kind"), "a.key", "a.rest")
+    wanted = Filter.of(asks)
+    nxt = F.substr("stretch", F.length("rest") + 1, F.lit(1))
+    here = F.col("stretch").startswith(F.col("rest"))
+    # A pair goes on if its second word does, or if more follows the word in its unit.
+    pair = here & ((nxt == "") | nxt.rlike(r"[\p{L}\p{N},;:/–-]"))
+    yes = F.when(F.col("kind").endswith("_whole"), True).when(F.col("kind") == "pair", pair).when(F.col("kind") == "copy", goes_on() & ~nxt.isin("\n", "\r")).otherwise(goes_on())
+    facts = answered(asks, parts.select("copy", "units").mapInArrow(_standing(wanted), STANDING), {"yes": yes}).filter("yes")
+    same = F.xxhash64("kind", "key", "rest").alias("fact_id")
+    return lookup_join(cut(asks.select("row", "kind", same)), facts.select(same).distinct(), "fact_id", "inner").select("row", F.col("kind").alias("fact"))
 
 
 def judged(texts: DataFrame) -> DataFrame:
-    """(id, text) -> (id, kind, is_cut) of every row."""
-    facts = cut(extensions(texts.select("text").mapInArrow(_values, "value string, asked boolean, whole boolean")))
-    rows = texts.select("id", "text").mapInArrow(_parts, "id bigint, kind string, mark boolean, dots boolean, unit string, word string, line string, tail string, open_word boolean, copy string")
-    rows = cut(rows)
-    for k in ("unit", "word", "line", "tail"):
-        fact = facts.filter(F.col("value").startswith(k[0].replace("t", "s") + "\x1f")).select(F.col("value").alias(k), F.col("whole").alias(f"{k}_whole"), F.col("extended").alias(f"{k}_ext"))
-        known = rows.filter(F.col(k).isNotNull())
-        if k in ("word", "tail"):
-            known = known.filter(F.col("dots") | F.col("kind").isin("title", "spaceless", "line"))
-        found = lookup_join(known.select("id", k), fact, k, "inner").drop(k)
-        rows = rows.join(found, "id", "left")
-    copies = facts.filter(F.col("value").startswith("c\x1f") & F.col("extended")).select(F.md5(F.substring("value", 3, 1 << 30).cast("binary")).alias("copy"), (~F.col("at_break")).alias("copy_ext"))
-    rows = rows.join(lookup_join(rows.filter("copy is not null").select("id", "copy"), copies, "copy", "inner").drop("copy"), "id", "left")
-    return rows.select("id", "kind", is_cut().alias("is_cut"))
-
-
-def is_cut() -> Column:
-    """Decision over the columns that :func:`judged` gathers."""
-    c = F.col
-    yes = lambda x: F.coalesce(c(x), F.lit(False))
-    longer = yes("unit_ext") & ~yes("unit_whole")
-    broken = yes("word_ext") & ~yes("word_whole")
-    copied = yes("copy_ext") & ~yes("line_whole")
-    rest = c("kind")
+    """(id, text) -> (id, kind, is_cut, evidence) of every row."""
+    schema = "id bigint, kind string, mark boolean, dots boolean, open_word boolean, copy string, units array<string>, asks array<struct<fact: string, key: bigint, rest: string>>"
+    # Rows of one id are told apart by their text.
+    parts = cut(texts.select("id", "text").mapInArrow(_parts, schema).withColumn("row", F.xxhash64("id", "copy")))
+    facts = facts_of(parts).groupBy("row").agg(F.collect_set("fact").alias("facts"))  # at most one of each kind
+    rows = parts.select("id", "row", "kind", "mark", "dots", "open_word").join(facts, "row", "left")
+    return rows.select("id", "kind", evidence().alias("evidence")).select("id", "kind", F.col("evidence").isNotNull().alias("is_cut"), "evidence")
+
+
+def evidence() -> Column:
+    """What shows that a text was cut, over the columns that :func:`judged` gathers; null if it was not."""
+    has = lambda f: F.coalesce(F.array_contains("facts", F.lit(f)), F.lit(False))
+    longer, broken = has("unit") & ~has("unit_whole"), has("word") & ~has("word_whole")
+    copied, new_line = has("copy") & ~has("line_whole"), ~has("line_whole")
+    mark, open_word, kind = F.col("mark"), F.col("open_word"), F.col("kind")
+    joined = F.when(longer, "unit").when(broken, "word")
+    in_line = F.when(copied, "copy")
     return (
-        F.when(rest.isin("open", "abbreviation"), True)
-        .when(rest == "stop", F.when(c("dots"), longer | broken | c("open_word")).otherwise(longer))
-        .when(rest == "title", c("mark") | c("open_word") | broken | longer)
-        .when(rest == "spaceless", c("mark") | ~yes("tail_whole"))
-        .when(rest == "line", ~yes("line_whole"))
-        .when(rest == "code", c("mark") | copied)
-        .when(rest == "heading", (c("mark") | yes("copy_ext")) & ~yes("line_whole"))
-        .otherwise(copied)
+        F.when(kind.isin("open", "abbreviation"), F.when(longer, "unit").when(has("pair"), "pair").when(broken, "word").when(mark, "mark").when((kind == "abbreviation") | ~has("unit_whole"), "ending"))
+        .when(kind == "stop", F.when(longer, "unit").when(F.col("dots"), F.when(broken, "word").when(open_word, "ending")))
+        .when(kind == "title", F.coalesce(joined, F.when(mark, "mark").when(open_word, "ending")))
+        .when(kind == "spaceless", F.when(longer, "unit").when(mark, "mark").when(~has("tail_whole"), "ending"))
+        .when(kind == "line", F.when(new_line, F.when(longer, "unit").otherwise(F.coalesce(in_line, F.lit("ending")))))
+        .when(kind == "code", F.coalesce(in_line, F.when(mark, "mark")))
+        .when(kind == "heading", F.when(new_line, F.coalesce(in_line, F.when(mark, "mark"))))
+        .when(kind != "blank", in_line)
     )

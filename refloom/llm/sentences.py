@@ -32,6 +32,11 @@ INNER = frozenset(
 #: A number may follow, then no end; otherwise like any word.
 BEFORE_NUMBER = frozenset("approx ca env aprox ок circa p s c jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic tel par § abs tab".split())
 GERMAN_DATE = frozenset("januar februar märz april mai juni juli august september oktober november dezember jahrhundert".split())
+#: After an acronym with stops these begin a new sentence; other capitals carry its name on.
+SENTENCE_OPENERS = frozenset(
+    "a an the this that these those it its he she we they i you there here in on at for from with by as if when while although though because since after before however moreover furthermore thus hence therefore "
+    "but and or so yet nor what why how who where is are was were do does did can could may might must should would will no not all some many most each every both other another our their his her my your".split()
+)
 #: After a closing quotation with its own terminator these carry the sentence on.
 CARRY_ON = ("是", "的", "と", "って", "は", "が", "を", "に", "で", "も", "の", "や", "へ", "、", "，", "；", ",", ";", ":", "：")
 CJK_END = "。！？｡"
@@ -56,6 +61,10 @@ LAO_OTHER = "ແລະ ຫຼື ແຕ່ ທີ່ ຊຶ່ງ ເຊິ່
 _SPACELESS = re.compile(r"[฀-໿က-႟ក-៿]")
 _SPACELESS_RUN = re.compile(r"[฀-໿က-႟ក-៿]+")
 _TERM = re.compile(r"\.{2,}|…+|[.!?।॥؟۔။។։።]+|[。！？｡]+")
+_KANA_OR_HAN = re.compile(r"[぀-ヿ㐀-鿿]")
+# Words and particles that end a sentence in Japanese and Chinese; before a blank they end it without a full stop.
+CJK_FINAL = "です ます でした ました ません である であった ください でしょう ましょう だった ない なかった ている ていた のだ んだ だよ だね ですか ますか ですね ますね ですよ かな かしら 吗 呢 吧 啊 了".split()
+_CJK_GAP = re.compile("(?:" + "|".join(sorted(CJK_FINAL, key=len, reverse=True)) + r")([ \u3000]+)(?=[「『“\"]?[぀-ヿ㐀-鿿])")
 _CITE = re.compile(r"\[\d+(?:\s*[,;–-]\s*\d+)*\]")
 _TAIL = re.compile(r"(?:\s?[»›]|[”“’'\"」』)\]）】])*")
 _ENUM = re.compile(r"\(?(?:\d{1,3}(?:\.\d{1,3})*|[ivxIVX]{1,4}|[A-Za-z])\.?$")
@@ -86,16 +95,18 @@ def word_lattice(run: str) -> list[tuple[str, str]]:
     return out[::-1]
 
 
-def _gap_ends(before: str, after: str) -> bool:
-    """Does the gap between two spaceless runs end a unit?"""
-    left, right = word_lattice(before[-200:]), word_lattice(after[:200])
-    if not left or not right:
-        return False
-    if left[-1][1] == "final":
+def _roles(run: str) -> tuple[str, str, bool]:
+    """Of a spaceless run: role of its first word, role of its last, and whether it is a fronted clause whose main clause is still to come."""
+    words = word_lattice(run)
+    fronted = words[0][1] == "front" and not any(role == "open" for _, role in words[1:])
+    return words[0][1], words[-1][1], fronted
+
+
+def _gap_ends(before: tuple[str, str, bool], after: tuple[str, str, bool]) -> bool:
+    """Does the gap between two spaceless runs, given by their roles, end a unit?"""
+    if before[1] == "final":
         return True
-    if left[0][1] == "front" and not any(role == "open" for _, role in left[1:]):
-        return False  # a fronted clause whose main clause is still to come
-    return right[0][1] in ("open", "front")  # an unknown word tells nothing
+    return not before[2] and after[0] in ("open", "front")  # an unknown word tells nothing
 
 
 def _quoted(s: str) -> list[tuple[int, int]]:
@@ -103,7 +114,7 @@ def _quoted(s: str) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
     n = len(s)
-    for m in re.finditer(r"[“”„«»「」『』‹›\"()（）]", s):
+    for m in _QUOTES.finditer(s):
         c, i = m[0], m.start()
         prev, nxt = s[i - 1] if i else " ", s[i + 1] if i + 1 < n else " "
         opening = c in "„«「『‹(（" or (c in "“\"" and (prev.isspace() or prev in "([（：:—" or not i) and not nxt.isspace())
@@ -150,31 +161,69 @@ def _within(outer: tuple[list[int], list[int]], a: int, b: int) -> bool:
     return k >= 0 and outer[1][k] > b
 
 
-_BLANK, _NEAR = re.compile(r"\s*"), 200
+_BLANK, _LETTER, _GAP = re.compile(r"\s*"), re.compile(r"[^\W_]"), re.compile(r"(?<=\S)\s+(?=\S)")
+_ACRONYM = re.compile(r"(?:[A-ZÀ-ÞА-Я]\.)+[A-ZÀ-ÞА-Я]$")
+_OPEN_MARKS = "\"“„«「『'‘([¿¡（—–-"
+#: The longest entry of the lists of abbreviations; a longer word is in none of them.
+_LONGEST_SHORT = 16
+_HEAD, _PART, _WHITE = re.compile(r"\S{0,32}"), re.compile(r"[^\s–-]{0,32}"), re.compile(r"\s")
+_SPACED_CITE, _QUOTES, _OPENS = re.compile(r" (\[\d[\d,\s–-]*\])(?=\s|$)"), re.compile(r"[“”„«»「」『』‹›\"()（）]"), re.compile(r"[“”„«»「」『』‹›\"(（]")
+
+
+class Line:
+    """A line of text with the places that its nodes ask for again and again."""
+
+    def __init__(self, s: str) -> None:
+        self.s = s
+        self._blanks: list[int] | None = None
+        self._stops: tuple[list[int], list[int]] | None = None
+
+    def word(self, at: int) -> str:
+        """The word that begins at ``at``, as far as the lists of words reach."""
+        return _HEAD.match(self.s, at)[0]
+
+    def word_start(self, at: int) -> int:
+        """Where the word before ``at`` begins."""
+        near = self.s.rfind(" ", 0, at) + 1
+        if not _WHITE.search(self.s, near, at):
+            return near
+        if self._blanks is None:
+            self._blanks = [m.end() for m in _WHITE.finditer(self.s)]
+        k = bisect_right(self._blanks, at)
+        return self._blanks[k - 1] if k else 0
 
+    def has_capital(self, at: int) -> bool:
+        """Is there a capital in the part of the word from ``at`` on, up to a hyphen?"""
+        near = _PART.match(self.s, at)
+        if near.end() - at < 2 * _LONGEST_SHORT:
+            return near[0] != near[0].lower()
+        if self._stops is None:
+            self._stops = [m.start() for m in re.finditer(r"[\s–-]", self.s)], [i for i, ch in enumerate(self.s) if ch.isupper()]
+        ends, capitals = self._stops
+        e, c = bisect_left(ends, at), bisect_left(capitals, at)
+        return c < len(capitals) and capitals[c] < (ends[e] if e < len(ends) else len(self.s))
 
-def _cost(s: str, start: int, t: re.Match, tail_end: int, cited: bool, quotes: tuple[list[int], list[int]]) -> float:
+
+def _cost(line: Line, start: int, t: re.Match, tail_end: int, cited: bool, quotes: tuple[list[int], list[int]]) -> float:
     """Cost of ending a unit at this terminator: below zero for an end, above for none."""
-    term, a, b = t[0], t.start(), t.end()
+    s, term, a, b = line.s, t[0], t.start(), t.end()
     if _within(quotes, a, tail_end):
         return 5.0
     begins = _BLANK.match(s, tail_end).end()
-    after = s[begins : begins + _NEAR]
-    if not after:
+    if begins == len(s):
         return -5.0
-    gap, nxt, closed = begins - tail_end, after[0], tail_end > b and not cited
+    gap, nxt, closed = begins - tail_end, s[begins], tail_end > b and not cited
     if term[0] in CJK_END:
-        if closed and after.startswith(CARRY_ON):
+        if closed and s.startswith(CARRY_ON, begins):
             return 3.0
-        return 3.0 if after[0] in "，、；,;)）" else -3.0
-    if nxt in "—–-" and len(after) > 2 and after[1:].lstrip()[:1].islower():
+        return 3.0 if nxt in "，、；,;)）" else -3.0
+    if nxt in "—–-" and begins + 2 < len(s) and s[_BLANK.match(s, begins + 1).end() :][:1].islower():
         return 3.0
-    word = after.split(None, 1)[0]
-    head = word.lstrip("\"“„«「『'‘([¿¡（—–-")
+    word = line.word(begins)
+    head = word.lstrip(_OPEN_MARKS)
     if head[:4].lower() in ("http", "www.") and term == ".":
         return -1.0 if gap else 3.0
-    lower = head[:1].islower() and not any(ch.isupper() for ch in re.split(r"[-–]", head)[0][1:])
-    if lower and not head[:1].isdigit():
+    if head[:1].islower() and not line.has_capital(begins + len(word) - len(head) + 1):
         return 3.0
     if nxt in ",;:)" or (nxt == "." and not gap):
         return 3.0
@@ -185,76 +234,91 @@ def _cost(s: str, start: int, t: re.Match, tail_end: int, cited: bool, quotes: t
         return 3.0 if not gap and caseless else -2.0
     if "!" in term or "?" in term:
         return -3.0 if gap or closed or cited or head[:1].isupper() else 3.0
-    prev = re.compile(r"\S*$").search(s, max(start, a - 40), a)[0].lstrip("\"“„«「'‘([¿¡（")
-    low = prev.lower()
+    prev = s[max(start, line.word_start(a)) : a].lstrip(_OPEN_MARKS.rstrip("—–-"))
+    low = prev.lower() if len(prev) <= _LONGEST_SHORT else ""
+    last = prev[prev.rfind(".") + 1 :]
     if not gap and not closed and not cited:
         bare = prev.isalpha() or prev.endswith(("]", ")", "”", "%"))
         return -1.0 if bare and len(prev) > 1 and head[:1].isupper() and head[1:2].islower() and "/" not in prev and low not in INNER else 3.0
     if closed or cited:
         return -3.0
-    if low in INNER or low.rpartition(".")[2] in INNER and len(low.rpartition(".")[0]) > 4:
+    if low and low in INNER or len(prev) - len(last) > 5 and len(last) <= _LONGEST_SHORT and last.lower() in INNER:
         return 4.0
-    if low in BEFORE_NUMBER and head[:1].isdigit():
+    if low and low in BEFORE_NUMBER and head[:1].isdigit():
         return 4.0
-    if prev.isdigit() and len(prev) < 3 and head.rstrip(".,").lower() in GERMAN_DATE:
+    if len(prev) < 3 and prev.isdigit() and head.rstrip(".,").lower() in GERMAN_DATE:
         return 4.0
-    if not s[start : a - len(prev)].strip(" (") and _ENUM.match(prev):
+    if len(prev) <= _LONGEST_SHORT and _ENUM.match(prev) and not s[start : a - len(prev)].strip(" ("):
         return 4.0
     if len(prev) == 1 and prev.isalpha():
         before = s[start : a - 1].rstrip()
         if prev.islower() and before.endswith((".", "и")):
             return -1.0  # т. д., u. a., p. m. with a capital after it
         return 4.0  # an initial
+    if low and _ACRONYM.match(prev) and head[:1].isupper() and head.rstrip(",.;:").lower() not in SENTENCE_OPENERS:
+        return 2.0  # the U.S. Supreme Court
     return -2.0
 
 
+def _spaceless_gaps(s: str, quotes: tuple[list[int], list[int]]) -> Iterator[tuple[int, float]]:
+    """Gaps beside runs of scripts without blanks between words, with their costs."""
+    runs = list(_SPACELESS_RUN.finditer(s))
+    starts, stops = [r.start() for r in runs], [r.end() for r in runs]
+    roles: dict[int, tuple[str, str, bool]] = {}
+
+    def role(k: int) -> tuple[str, str, bool]:
+        if k not in roles:
+            roles[k] = _roles(runs[k][0])
+        return roles[k]
+
+    for m in _GAP.finditer(s):
+        if _within(quotes, m.start(), m.start()):
+            continue
+        k, j = bisect_right(stops, m.start()) - 1, bisect_left(starts, m.end())
+        # Figures and citation marks may stand between a run and the gap, opening marks between the gap and the next.
+        left = k >= 0 and not _CITE.sub("", s[stops[k] : m.start()]).strip(" %0123456789.,[]()")
+        right = j < len(runs) and not s[m.end() : starts[j]].strip("“\"«(")
+        if left and right:
+            yield m.start(), -1.0 if _gap_ends(role(k), role(j)) else 1.0
+        elif left and s[m.end()].isupper():
+            yield m.start(), -1.0
+
+
 def _units(s: str, base: int) -> Iterator[tuple[int, int]]:
     """Units of one line, offset by ``base``."""
-    spans = _quoted(s) if re.search(r"[“”„«»「」『』‹›\"(（]", s) else []
+    spans = _quoted(s) if _OPENS.search(s) else []
     quotes, closings = _outer(spans), {q[1] for q in spans}
     nodes: list[tuple[int, float]] = []
-    start = len(s) - len(s.lstrip())
+    line, start = Line(s), len(s) - len(s.lstrip())
     for t in _TERM.finditer(s):
         end = _TAIL.match(s, t.end()).end()
         cite = _CITE.match(s, end)
         if cite:
             end = _TAIL.match(s, cite.end()).end()
-        elif (spaced := re.compile(r" (\[\d[\d,\s–-]*\])(?=\s|$)").match(s, end)) and t[0] != ".":
+        elif (spaced := _SPACED_CITE.match(s, end)) and t[0] != ".":
             end = spaced.end()
         # A closer in the tail counts only if it closes something here, else it opens the next unit.
         tail = s[t.end() : end]
         if tail.endswith(("“", '"')) and not cite and end < len(s) and not s[end].isspace() and end not in closings:
             end -= 1
-        nodes.append((end, _cost(s, start, t, end, bool(cite), quotes)))
+        nodes.append((end, _cost(line, start, t, end, bool(cite), quotes)))
     if _SPACELESS.search(s):
-        runs = list(_SPACELESS_RUN.finditer(s))
-        starts, stops = [r.start() for r in runs], [r.end() for r in runs]
-        for m in re.finditer(r"(?<=\S)\s+(?=\S)", s):
-            left, right = s[max(0, m.start() - _NEAR) : m.start()], s[m.end() : m.end() + _NEAR]
-            bare = _CITE.sub("", left).rstrip(" %0123456789.,[]()")
-            quoted = _within(quotes, m.start(), m.start())
-            if not _SPACELESS.match(bare[-1:]) or not _SPACELESS.match(right.lstrip("“\"«(")[:1]):
-                if _SPACELESS.match(bare[-1:]) and right[:1].isupper() and not quoted:
-                    nodes.append((m.start(), -1.0))
-                continue
-            if quoted:
-                continue
-            k, j = bisect_right(stops, m.start()) - 1, bisect_left(starts, m.end())
-            nodes.append((m.start(), -1.0 if k >= 0 and j < len(runs) and _gap_ends(runs[k][0], runs[j][0]) else 1.0))
+        nodes += _spaceless_gaps(s, quotes)
+    if _KANA_OR_HAN.search(s):
+        nodes += [(m.start(1), -1.0) for m in _CJK_GAP.finditer(s) if not _within(quotes, m.start(1), m.start(1))]
     nodes.append((len(s), -9.0))
     nodes = _merged(nodes)
     # cheapest path; an arc without a letter or digit costs more than any terminator gives
-    marks = [i for i, ch in enumerate(s) if ch.isalnum()]
     best: list[tuple[float, int]] = []
     bare: list[tuple[float, int]] = []  # the cheapest node since the last letter or digit
     full = (1e9, -1)  # cheapest earlier node with a letter or digit after it
-    seen = 0
+    seen, lettered = start, False
     for k, (end, c) in enumerate(nodes):
-        now = bisect_left(marks, end)
-        if now > seen:  # letters since the node before: every earlier node has one after it
-            full, bare, seen = min([full, *bare]), [], now
-        line = (0.0 if now > bisect_left(marks, start) else 20.0, -1)
-        options = [line] if start < end or k == 0 else []
+        if _LETTER.search(s, seen, end):  # letters since the node before: every earlier node has one after it
+            full, bare, lettered = min([full, *bare]), [], True
+        seen = end
+        whole = (0.0 if lettered else 20.0, -1)
+        options = [whole] if start < end or k == 0 else []
         options += [full] if full[1] >= 0 else []
         options += [(p + 20, j) for p, j in bare]
         p, j = min(options, default=(1e9, -1))

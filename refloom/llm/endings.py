@@ -49,7 +49,7 @@ def ending(text: str | None) -> tuple[str, str]:
     lines = [x.strip() for x in re.split(r"[\n\r]+", s) if x.strip()]
     line = lines[-1]
     word = s.rsplit(None, 1)[-1]
-    if _END.search(s[-200:]):
+    if _END.search(s):
         bare = re.sub(r"[^\w.]+$", "", word)
         tok = re.sub(r"^\W+", "", bare).rstrip(".").lower()
         if word.startswith(("http://", "https://")) and not _LINK.match(line):

@@ -18,8 +18,8 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -42,48 +42,59 @@ def _lengths() -> tuple[int, ...]:
 LENGTHS = _lengths()
 
 
+class Filter:
+    """Set of hashed prefixes of fixed size; may hold more than was put in, never less."""
+
+    def __init__(self, bits: bytes) -> None:
+        self.bits = bits
+
+    @staticmethod
+    def of(asked: DataFrame) -> Filter:
+        """Filter over the column ``place``."""
+        bits = asked.groupBy(F.floor(F.col("place") / 8).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, place % 8)")).alias("b"))
+        out = bytearray(BITS // 8)
+        for w, b in bits.collect():  # at most BITS / 8 rows
+            out[w] = b
+        return Filter(bytes(out))
+
+
 def _key(kind: str, length: int, s: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}{length}\x1f{s}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def prefix_key(kind: str, value: str) -> tuple[int, str]:
-    """(key, rest) of a value that is asked about."""
+def prefix_key(kind: str, value: str) -> tuple[int, str, int]:
+    """(key, rest, place in the filter) of a value that is asked about."""
     p = LENGTHS[bisect_right(LENGTHS, len(value)) - 1]
-    return _key(kind, p, value[:p]), value[p:]
+    return _key(kind, p, value[:p]), value[p:], crc32(value[:p].encode("utf-8", "surrogatepass"), crc32(kind.encode())) % BITS
 
 
 def whole_key(kind: str, value: str) -> tuple[int, str]:
-    """(key, rest) that asks whether a value stands as a whole."""
+    """(key, rest) of a value that may stand as a whole."""
     return _key(kind, 0, value), ""
 
 
-def standing_keys(kind: str, value: str) -> Iterator[tuple[int, str]]:
-    """(key, stretch) of a value that stands in the corpus, for :func:`prefix_key`."""
-    for k, p in enumerate(LENGTHS):
-        if p > len(value):
-            return
-        yield _key(kind, p, value[:p]), value[p : LENGTHS[k + 1] + 1]
-
+def asked_whole(kind: str, value: str) -> tuple[int, str, int]:
+    """:func:`whole_key` with its place in the filter."""
+    return *whole_key(kind, value), crc32(value.encode("utf-8", "surrogatepass"), crc32(("=" + kind).encode())) % BITS
 
-class Filter:
-    """Set of hashed keys of fixed size; may hold more than was put in, never less."""
 
-    def __init__(self, words: np.ndarray) -> None:
-        self.words = words.tobytes()
+def standing_keys(kind: str, value: str, wanted: Filter) -> Iterator[tuple[int, str]]:
+    """(key, stretch) of a value that stands in the corpus, for :func:`prefix_key`, as far as the filter lets it pass."""
+    n, sum_, bits, last = len(value), crc32(kind.encode()), wanted.bits, 0
+    for k, p in enumerate(LENGTHS):
+        if p > n:
+            return
+        sum_ = crc32(value[last:p].encode("utf-8", "surrogatepass"), sum_)
+        last, at = p, sum_ % BITS
+        if bits[at >> 3] >> (at & 7) & 1:
+            yield _key(kind, p, value[:p]), value[p : LENGTHS[k + 1] + 1]
 
-    @staticmethod
-    def of(asked: DataFrame) -> Filter:
-        """Filter over the column ``key``."""
-        place = F.pmod("key", F.lit(BITS))
-        bits = asked.groupBy(F.floor(place / 8).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(key, {BITS}) % 8 as int))")).alias("b"))
-        words = np.zeros(BITS // 8, dtype=np.uint8)
-        for w, b in bits.collect():  # at most BITS / 8 rows
-            words[w] = b
-        return Filter(words)
 
-    def __contains__(self, key: int) -> bool:
-        p = key % BITS
-        return self.words[p >> 3] >> (p & 7) & 1 == 1
+def whole_keys(kind: str, value: str, wanted: Filter) -> Iterator[tuple[int, str]]:
+    """The key of :func:`whole_key` of a value that stands in the corpus, if the filter lets it pass."""
+    at = crc32(value.encode("utf-8", "surrogatepass"), crc32(("=" + kind).encode())) % BITS
+    if wanted.bits[at >> 3] >> (at & 7) & 1:
+        yield whole_key(kind, value)
 
 
 def key_rows(rows: Iterable[tuple[int, str]]) -> pa.RecordBatch:
@@ -118,14 +129,15 @@ def extensions(values: DataFrame) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [prefix_key("v", v) for v in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in keys], pa.int64()), pa.array([r for _, r in keys], pa.string())], names=["value", "key", "rest"])
+            cols = list(zip(*keys, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["value", "key", "rest", "place"])
 
-    asked = cut(one.mapInArrow(ask, "value string, key bigint, rest string").withColumn("kind", F.lit("v")))
+    asked = cut(one.mapInArrow(ask, "value string, key bigint, rest string, place int").withColumn("kind", F.lit("v")))
     wanted = Filter.of(asked)
 
     def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield key_rows({x for v in b.column(0).to_pylist() for x in standing_keys("v", v) if x[0] in wanted})
+            yield key_rows({x for v in b.column(0).to_pylist() for x in standing_keys("v", v, wanted)})
 
     facts = answered(asked, one.mapInArrow(stand, STANDING), {"extended": goes_on()})
     return asked.join(facts, ["key", "rest", "kind"]).select("value", "extended")

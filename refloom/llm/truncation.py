@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from refloom.llm.endings import ending, is_open_word, split_mark
-from refloom.llm.prefixes import STANDING, Filter, answered, goes_on, key_rows, prefix_key, standing_keys, whole_key
+from refloom.llm.prefixes import STANDING, Filter, answered, asked_whole, goes_on, key_rows, prefix_key, standing_keys, whole_keys
 from refloom.llm.sentences import sentence_spans
 from refloom.plans.lineage import cut
 from refloom.plans.skew import lookup_join
@@ -64,29 +64,29 @@ def last_parts(text: str | None) -> dict | None:
     dots = bool(_ELLIPSIS.search(s))
     unit = _ELLIPSIS.sub("", unit) if dots else _CITES.sub("", unit)
     words = _WORD.findall(unit)
-    asks: list[tuple[str, tuple[int, str]]] = []
+    asks: list[tuple[str, tuple[int, str, int]]] = []
     if unit:
-        asks += [("unit", prefix_key("u", unit)), ("unit_whole", whole_key("u", unit))]
+        asks += [("unit", prefix_key("u", unit)), ("unit_whole", asked_whole("u", unit))]
     if words and unit.endswith(words[-1]) and (dots or kind in ("title", "spaceless", "line", "open")):
         w = words[-1].lower()
-        asks += [("word", prefix_key("w", w)), ("word_whole", whole_key("w", w))]
+        asks += [("word", prefix_key("w", w)), ("word_whole", asked_whole("w", w))]
     line = re.split(r"[\n\r]+", s.strip())[-1].strip()
     if kind in IN_LINE:
-        asks += [("line_whole", whole_key("l", line)), ("copy", prefix_key("c", _BREAKS.sub("", s)))]
+        asks += [("line_whole", asked_whole("l", line)), ("copy", prefix_key("c", _BREAKS.sub("", s)))]
     if kind == "spaceless":
-        asks.append(("tail_whole", whole_key("s", s[-SUFFIX:])))
+        asks.append(("tail_whole", asked_whole("s", s[-SUFFIX:])))
     tokens = unit.split()
     if kind in ("open", "abbreviation") and len(tokens) > 1:
         asks.append(("pair", prefix_key("p" + tokens[-2] + "\x1f", tokens[-1])))
     return {
         "kind": kind, "mark": mark, "dots": dots, "open_word": is_open_word(s.split()[-1]), "copy": _BREAKS.sub("", s),
-        "units": [_bare(text[a:b]) for a, b in spans[:-1]], "asks": [{"fact": f, "key": k, "rest": r} for f, (k, r) in asks],
+        "units": [_bare(text[a:b]) for a, b in spans[:-1]], "last": unit, "asks": [{"fact": f, "key": k, "rest": r, "place": p} for f, (k, r, p) in asks],
     }
 
 
-_ASK = pa.struct([("fact", pa.string()), ("key", pa.int64()), ("rest", pa.string())])
-_PARTS = (("kind", pa.string()), ("mark", pa.bool_()), ("dots", pa.bool_()), ("open_word", pa.bool_()), ("copy", pa.string()), ("units", pa.list_(pa.string())), ("asks", pa.list_(_ASK)))
-_BLANK = {"kind": "blank", "mark": False, "dots": False, "open_word": False, "copy": None, "units": [], "asks": []}
+_ASK = pa.struct([("fact", pa.string()), ("key", pa.int64()), ("rest", pa.string()), ("place", pa.int32())])
+_PARTS = (("kind", pa.string()), ("mark", pa.bool_()), ("dots", pa.bool_()), ("open_word", pa.bool_()), ("copy", pa.string()), ("units", pa.list_(pa.string())), ("last", pa.string()), ("asks", pa.list_(_ASK)))
+_BLANK = {"kind": "blank", "mark": False, "dots": False, "open_word": False, "copy": None, "units": [], "last": None, "asks": []}
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,32 +101,36 @@ def _standing(wanted: Filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             units: set[str] = set()
+            lasts: set[str] = set()  # may be cut, so they stand for longer copies only
             pairs: set[tuple[str, str]] = set()
             words: set[str] = set()
             out: set[tuple[int, str]] = set()
-            for copy, own in zip(b.column("copy").to_pylist(), b.column("units").to_pylist(), strict=True):
+            for copy, own, last in zip(*(b.column(c).to_pylist() for c in ("copy", "units", "last")), strict=True):
                 if copy is None:
                     continue
-                out.update(x for x in standing_keys("c", copy) if x[0] in wanted)
-                out.update(x for line in re.split(r"[\n\r]+", copy.strip())[:-1] if (x := whole_key("l", line.strip()))[0] in wanted)
+                out.update(standing_keys("c", copy, wanted))
+                for line in re.split(r"[\n\r]+", copy.strip())[:-1]:
+                    out.update(whole_keys("l", line.strip(), wanted))
                 units.update(own)
+                lasts.add(last)
             for u in units:
                 tokens = u.split()
                 if tokens:
                     tokens[-1] += LAST
                     pairs.update(zip(tokens, tokens[1:], strict=False))
                     words.update(tokens)
-                if u and (_SPACELESS.match(u[-1]) or u[-1] == "%") and (x := whole_key("s", u[-SUFFIX:]))[0] in wanted:
-                    out.add(x)
+                if u and (_SPACELESS.match(u[-1]) or u[-1] == "%"):
+                    out.update(whole_keys("s", u[-SUFFIX:], wanted))
+            for u in lasts:
+                tokens = u.split()[:-1]
+                pairs.update(zip(tokens, tokens[1:], strict=False))
+                out.update(standing_keys("u", u, wanted))
             for kind, values in (("u", units), ("w", {w.lower() for t in words for w in _WORD.findall(t)})):
                 for v in values:
-                    if not v:
-                        continue
-                    if (x := whole_key(kind, v))[0] in wanted:
-                        out.add(x)
-                    out.update(x for x in standing_keys(kind, v) if x[0] in wanted)
+                    out.update(whole_keys(kind, v, wanted))
+                    out.update(standing_keys(kind, v, wanted))
             for a, after in pairs:
-                out.update(x for x in standing_keys("p" + a + "\x1f", after) if x[0] in wanted)
+                out.update(standing_keys("p" + a + "\x1f", after, wanted))
             yield key_rows(out)
 
     return run
@@ -134,21 +138,21 @@ def _standing(wanted: Filter):
 
 def facts_of(parts: DataFrame) -> DataFrame:
     """(row, fact) of every answer that is yes."""
-    asks = parts.select("row", F.explode("asks").alias("a")).select("row", F.col("a.fact").alias("kind"), "a.key", "a.rest")
+    asks = parts.select("row", F.explode("asks").alias("a")).select("row", F.col("a.fact").alias("kind"), "a.key", "a.rest", "a.place")
     wanted = Filter.of(asks)
     nxt = F.substr("stretch", F.length("rest") + 1, F.lit(1))
     here = F.col("stretch").startswith(F.col("rest"))
     # A pair goes on if its second word does, or if more follows the word in its unit.
     pair = here & ((nxt == "") | nxt.rlike(r"[\p{L}\p{N},;:/–-]"))
     yes = F.when(F.col("kind").endswith("_whole"), True).when(F.col("kind") == "pair", pair).when(F.col("kind") == "copy", goes_on() & ~nxt.isin("\n", "\r")).otherwise(goes_on())
-    facts = answered(asks, parts.select("copy", "units").mapInArrow(_standing(wanted), STANDING), {"yes": yes}).filter("yes")
+    facts = answered(asks, parts.select("copy", "units", "last").mapInArrow(_standing(wanted), STANDING), {"yes": yes}).filter("yes")
     same = F.xxhash64("kind", "key", "rest").alias("fact_id")
     return lookup_join(cut(asks.select("row", "kind", same)), facts.select(same).distinct(), "fact_id", "inner").select("row", F.col("kind").alias("fact"))
 
 
 def judged(texts: DataFrame) -> DataFrame:
     """(id, text) -> (id, kind, is_cut, evidence) of every row."""
-    schema = "id bigint, kind string, mark boolean, dots boolean, open_word boolean, copy string, units array<string>, asks array<struct<fact: string, key: bigint, rest: string>>"
+    schema = "id bigint, kind string, mark boolean, dots boolean, open_word boolean, copy string, units array<string>, last string, asks array<struct<fact: string, key: bigint, rest: string, place: int>>"
     # Rows of one id are told apart by their text.
     parts = cut(texts.select("id", "text").mapInArrow(_parts, schema).withColumn("row", F.xxhash64("id", "copy")))
     facts = facts_of(parts).groupBy("row").agg(F.collect_set("fact").alias("facts"))  # at most one of each kind

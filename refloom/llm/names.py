@@ -114,22 +114,42 @@ def near_given(a: str, b: str, beside_a: int, beside_b: int) -> bool:
 
 
 def edit(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps, as far as ``most``."""
+    """Edit distance with swaps of neighbours, as far as ``most``; only places that so many edits can reach are looked at."""
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    prev2: list[int] = []
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        cur = [i]
-        for j, y in enumerate(b, 1):
-            d = min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, prev2[j - 2] + 1)
-            cur.append(d)
+    k = 0
+    while k < len(a) and k < len(b) and a[k] == b[k]:
+        k += 1
+    m, n = len(a), len(b)
+    while m > k and n > k and a[m - 1] == b[n - 1]:
+        m, n = m - 1, n - 1
+    a, b = a[k:m], b[k:n]
+    m, n = len(a), len(b)
+    if not m or not n:
+        return min(max(m, n), most + 1)
+    far = most + 1
+    before, prev = [far] * (n + 1), [j if j <= most else far for j in range(n + 1)]
+    for i in range(1, m + 1):
+        cur = [far] * (n + 1)
+        if i <= most:
+            cur[0] = i
+        x = a[i - 1]
+        for j in range(max(1, i - most), min(n, i + most) + 1):
+            y = b[j - 1]
+            d = prev[j - 1] + (x != y)
+            if prev[j] < d:
+                d = prev[j] + 1
+            if cur[j - 1] < d:
+                d = cur[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] < d:
+                d = before[j - 2] + 1
+            cur[j] = d
         if min(cur) > most:
-            return most + 1
-        prev2, prev = prev, cur
-    return prev[-1]
+            return far
+        before, prev = prev, cur
+    return min(prev[n], far)
 
 
 def jaro_winkler(a: str, b: str) -> float:

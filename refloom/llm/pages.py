@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from refloom.llm.canonical import _Table
 from refloom.llm.names import edit
 
 HYPHENS = "-­‐¬"
@@ -27,9 +28,13 @@ _STOP = re.compile(r"[.!?:;,)\]”»\"]$")
 HEAD_LENGTH = 24
 
 
+_SHOWN = _Table(lambda c: None if unicodedata.category(c) in ("Mn", "Cf", "Cc") else c)
+
+
 def plain(s: str) -> str:
-    s = unicodedata.normalize("NFKD", s).casefold()
-    return " ".join("".join(c for c in s if unicodedata.category(c) not in ("Mn", "Cf", "Cc")).split())
+    if not s.isascii():
+        s = unicodedata.normalize("NFKD", s)
+    return " ".join(s.casefold().translate(_SHOWN).split())
 
 
 def _alike(a: str, b: str, most: int) -> bool:
@@ -45,10 +50,10 @@ def _serial(p: str) -> bool:
 
 def _by_author(p: str, words: set[str]) -> bool:
     """An author of the paper and others, be it misread."""
-    m = _AND_OTHERS.match(p)
-    if not m or not (m[2] in ("et al", "ct al") or _alike(m[2].translate(_SHAPES), "and others", 2)):
+    m = _AND_OTHERS.match(p.translate(_SHAPES))
+    if not m or not (m[2] in ("et al", "ct al") or _alike(m[2], "and others", 2)):
         return False
-    return any(w in words or any(len(w) > 4 and _alike(w, x, 2) for x in words) for w in re.findall(r"[^\W\d_]+", m[1].translate(_SHAPES)))
+    return any(w in words or any(len(w) > 4 and _alike(w, x, 2) for x in words) for w in re.findall(r"[^\W\d_]+", m[1]))
 
 
 def furniture(lines: list[str], title: str | None, authors: list[str] | None) -> dict[int, str]:

@@ -1,28 +1,34 @@
 """Noise in text read from page images: furniture, broken words, misread words.
 
 Words of the whole corpus are counted by origin. Each word has an anagram value, the sum of the fifth
-powers of its code points, so that one misread shape changes it by a known difference. Words that are
-rare and stand in no structured text join the frequent words at these differences; the pairs that one
-substitution really turns into each other are ranked by frequency, and the first is the correction.
-Broken words are joined if the joined form is better known than the form with its hyphen.
+powers of its code points (modulo a prime), so that one misread shape changes it by a known difference.
+Words that are rare and stand in no structured text join the frequent words at these differences; the
+pairs that one substitution really turns into each other are ranked by frequency, and the first is the
+correction. Pages are then read once: furniture, words broken at line ends, and the words that may have
+a correction (by a filter of fixed size) leave that pass. Broken words are joined if the joined form is
+better known than the form with its hyphen; all the forms that are to be known are looked up in one join.
 
 Defined cases
-- null, empty and blank texts give no spot. Words of more than 100 letters, or in scripts beyond
-  Cyrillic, have no anagram value and are not corrected.
+- null, empty and blank texts give no spot. Words of one letter are not corrected; shapes that scanners
+  confuse are Latin and Greek ones, words of any script may hold them.
 - equally frequent corrections: the smaller word. A word that stands in structured text is corrected
   only if the other is fifty times as frequent.
-- papers repeated under one id: each row gives its spots. An empty table gives an empty result.
-- a word that makes up a third of all tokens: counted map-side, looked up through a broadcast.
+- papers repeated under one id: each different text gives its spots, a text delivered again none anew.
+- an empty table gives an empty result. Extra columns are ignored.
+- a word that makes up a third of all tokens: counted map-side, looked up through salted keys.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from refloom.llm.pages import breaks, furniture, trim
+from refloom.llm.prefixes import BITS, Filter
 from refloom.plans.lineage import cut
 from refloom.plans.skew import lookup_join
 
@@ -31,14 +37,20 @@ CONFUSIONS = (("e", "c"), ("o", "0"), ("s", "5"), ("l", "1"), ("a", "α"), ("d",
 WORD = r"[\p{L}\p{N}]+"
 
 
+#: Code points are taken modulo this, so that sums of fifth powers stay whole numbers of 64 bits.
+PRIME = (1 << 31) - 1
+_PIECE = re.compile(r"[^\W_]+")
+
+
 def anagram_value(word: str) -> int:
-    return sum(ord(c) ** 5 for c in word)
+    return sum(pow(ord(c), 5, PRIME) for c in word)
 
 
 def _value(word: Column) -> Column:
+    square = lambda x: x * x % PRIME
+    fifth = lambda x: square(square(x)) * x % PRIME
     letters = F.filter(F.split(word, ""), lambda x: x != "")
-    code = lambda x: F.ascii(x).cast("bigint")
-    return F.aggregate(letters, F.lit(0).cast("bigint"), lambda acc, x: acc + code(x) * code(x) * code(x) * code(x) * code(x))
+    return F.aggregate(letters, F.lit(0).cast("bigint"), lambda acc, x: acc + fifth(F.ascii(x).cast("bigint")))
 
 
 def vocabulary(papers: DataFrame) -> DataFrame:
@@ -46,16 +58,15 @@ def vocabulary(papers: DataFrame) -> DataFrame:
 
     Compounds with one inner hyphen are counted as words too.
     """
-    text = F.regexp_replace(F.lower("text"), r"\S{1,80}[-­‐¬][ \t]*\n\s*\S{0,80}", " ")
+    text = F.regexp_replace(F.lower("text"), r"(?<!\S)\S+[-­‐¬][ \t]*\n\s*\S*", " ")
     words = F.concat(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.regexp_extract_all(text, F.lit(r"\p{L}+-\p{L}+"), F.lit(0)))
-    rows = papers.filter("text is not null").select((F.col("text_origin") == "scan").alias("is_scan"), F.explode(words).alias("word"))
-    per = rows.filter(F.length("word") <= 100).groupBy("word").agg(F.count_if(~F.coalesce("is_scan", F.lit(False))).alias("clean"), F.count_if(F.coalesce("is_scan", F.lit(False))).alias("scan"))
-    return per
+    rows = papers.filter("text is not null").select(F.coalesce(F.col("text_origin") == "scan", F.lit(False)).alias("is_scan"), F.explode(words).alias("word"))
+    return rows.groupBy("word").agg(F.count_if(~F.col("is_scan")).alias("clean"), F.count_if("is_scan").alias("scan"))
 
 
 def corrections(words: DataFrame) -> DataFrame:
     """(word, fixed): the best frequent variant of each rare confusable word."""
-    plain = words.filter((F.length("word") > 2) & F.col("word").rlike(r"^[\x{0030}-\x{04ff}]+$") & F.col("word").rlike(r"\p{L}"))
+    plain = words.filter((F.length("word") > 1) & ~F.col("word").contains("-") & F.col("word").rlike(r"\p{L}"))
     valued = cut(plain.select("word", "clean", "scan", _value(F.col("word")).alias("av")))
     shifts = F.array(*(F.struct(F.lit(anagram_value(r) - anagram_value(m)).alias("shift"), F.lit(r).alias("right"), F.lit(m).alias("wrong")) for r, m in CONFUSIONS))
     rare = valued.filter("scan > 0").select("word", "clean", "scan", "av", F.explode(shifts).alias("c")).filter(F.instr("word", F.col("c.wrong")) > 0)
@@ -70,88 +81,87 @@ def corrections(words: DataFrame) -> DataFrame:
     return j.filter(turned).withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("word", "fixed")
 
 
-_SPOTS = "row bigint, paper_id string, line_no int, kind string, part string, hyphen string, rest string, rest_line int"
+_SPOTS = {"row": pa.int64(), "paper_id": pa.string(), "line_no": pa.int32(), "kind": pa.string(), "part": pa.string(), "hyphen": pa.string(), "rest": pa.string(), "rest_line": pa.int32()}
+_SPOTS_DDL = "row bigint, paper_id string, line_no int, kind string, part string, hyphen string, rest string, rest_line int"
 
 
-def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cols: list[list] = [[] for _ in range(8)]
-        for row, paper, text, title, authors in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if not text or not text.strip():
-                continue
-            lines = text.split("\n")
-            gone = furniture(lines, title, authors)
-            out = [(row, paper, i, k, None, None, None, None) for i, k in sorted(gone.items())]
-            out += [(row, paper, i, "split_word", a, h, r, j) for i, j, a, h, r in breaks(lines, gone)]
-            for o in out:
-                for c, v in zip(cols, o, strict=True):
-                    c.append(v)
-        types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row", "paper_id", "line_no", "kind", "part", "hyphen", "rest", "rest_line"])
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of the lines that are no furniture and hold no broken word's part, with their pieces."""
-    import re
-
-    piece = re.compile(r"[^\W_]+")
-    for b in batches:
-        cols: list[list] = [[] for _ in range(6)]
-        for row, paper, text, title, authors in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if not text or not text.strip():
-                continue
-            lines = text.split("\n")
-            gone = furniture(lines, title, authors)
-            broken = breaks(lines, gone)
-            lasts, firsts = {i for i, *_ in broken}, {j for _, j, *_ in broken}
-            for i, line in enumerate(lines):
-                if i in gone:
+def _read_pages(wanted: Filter):
+    """Spots of every paper in one pass; of kind ``token`` are tokens with a piece that may have a correction (in ``rest``).
+
+    Lines of furniture and the parts of broken words give no token.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for row, paper, text, title, authors in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if not text or not text.strip():
                     continue
-                tokens = line.split()
-                tokens = tokens[1 if i in firsts else 0 : -1 if i in lasts else None]
-                for t in tokens:
-                    token = trim(t)
-                    for p in set(piece.findall(token)):
-                        if len(p) > 2 and not p.isdigit():
-                            for c, v in zip(cols, (row, paper, i, t, token, p), strict=True):
-                                c.append(v)
-        types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row", "paper_id", "line_no", "raw", "token", "word"])
+                lines = text.split("\n")
+                gone = furniture(lines, title, authors)
+                out += [(row, paper, i, k, None, None, None, None) for i, k in sorted(gone.items())]
+                broken = breaks(lines, gone)
+                out += [(row, paper, i, "split_word", a, h, r, j) for i, j, a, h, r in broken]
+                lasts, firsts = {i for i, *_ in broken}, {j for _, j, *_ in broken}
+                for i, line in enumerate(lines):
+                    if i in gone:
+                        continue
+                    tokens = line.split()
+                    for t in tokens[1 if i in firsts else 0 : -1 if i in lasts else None]:
+                        for piece in set(_PIECE.findall(t.lower())):
+                            at = crc32(piece.encode("utf-8", "surrogatepass")) % BITS
+                            if wanted.bits[at >> 3] >> (at & 7) & 1 and piece in _PIECE.findall(trim(t)):
+                                out.append((row, paper, i, "token", t, None, piece, None))
+            cols = list(zip(*out, strict=True)) or [()] * len(_SPOTS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SPOTS.values(), strict=True)], names=list(_SPOTS))
+
+    return run
 
 
 def noise_spots(papers: DataFrame) -> DataFrame:
     """(row, paper_id, line_no, noise_kind, fixed_word, raw, rest_line) of every spot in scanned papers.
 
-    ``papers``: paper_id, text, title, authors, text_origin. ``row`` tells repeated ids apart.
+    ``papers``: paper_id, text, title, authors, text_origin. ``row`` tells different texts of one id apart.
     """
     words = cut(vocabulary(papers))
     fixes = cut(corrections(words))
-    scans = papers.filter("text_origin = 'scan'").select(F.xxhash64("paper_id", "text").alias("row"), "paper_id", "text", "title", "authors")
-    spots = cut(scans.mapInArrow(_spots, _SPOTS))
-    lines = spots.filter("kind <> 'split_word'").select("row", "paper_id", "line_no", F.col("kind").alias("noise_kind"), F.lit("").alias("fixed_word"), F.lit(None).cast("string").alias("raw"), F.col("rest_line"))
-    return lines.unionByName(_broken(spots.filter("kind = 'split_word'"), words, fixes)).unionByName(_misread(scans, fixes))
+    wanted = Filter.of(fixes.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BITS)).cast("int").alias("place")))
+    scans = papers.filter("text_origin = 'scan'").select(F.xxhash64("paper_id", "text").alias("row"), "paper_id", "text", "title", "authors").dropDuplicates(["row"])
+    spots = cut(scans.mapInArrow(_read_pages(wanted), _SPOTS_DDL))
+    lines = spots.filter("kind not in ('split_word', 'token')").select("row", "paper_id", "line_no", F.col("kind").alias("noise_kind"), F.lit("").alias("fixed_word"), F.lit(None).cast("string").alias("raw"), F.col("rest_line"))
+    known = words.join(fixes, "word", "left")
+    return lines.unionByName(_broken(spots.filter("kind = 'split_word'"), known)).unionByName(_misread(spots.filter("kind = 'token'"), fixes))
 
 
-def _broken(spots: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFrame:
+def _broken(spots: DataFrame, known: DataFrame) -> DataFrame:
+    """Broken words by what is known (word, clean, scan, fixed) of their joined form, their compound and their parts."""
     last, first = F.regexp_extract(F.lower("part"), r"(\p{L}+)$", 1), F.regexp_extract(F.lower("rest"), r"^(\p{L}+)", 1)
     s = spots.withColumns({"a": last, "b": first}).withColumns({"joined": F.concat("a", "b"), "compound": F.concat_ws("-", "a", "b")})
-    for name in ("joined", "compound", "a", "b"):
-        n = words.select(F.col("word").alias(name), (F.col("clean") + F.col("scan")).alias(f"n_{name}"), F.col("clean").alias(f"c_{name}"))
-        s = lookup_join(s, n, name)
-    s = lookup_join(s, fixes.select(F.col("word").alias("joined"), F.col("fixed").alias("joined_fixed")), "joined")
+    forms = ("joined", "compound", "a", "b")
+    asked = s.select("joined", "compound", "a", "b", F.explode(F.array(*(F.struct(F.lit(x).alias("form"), F.col(x).alias("word")) for x in forms))).alias("x")).select("a", "b", "joined", "compound", "x.form", "x.word").distinct()
+    facts = lookup_join(cut(asked), known, "word", "inner")
+    pick = lambda form, c: F.max(F.when(F.col("form") == form, c))
+    n = F.col("clean") + F.col("scan")
+    facts = facts.groupBy("a", "b").agg(*(pick(x, n).alias(f"n_{x}") for x in forms), *(pick(x, F.col("clean")).alias(f"c_{x}") for x in ("a", "b")), pick("joined", F.col("fixed")).alias("joined_fixed"))
+    s = s.join(facts, ["a", "b"], "left")
     z = lambda c: F.coalesce(c, F.lit(0))
-    known = z("n_joined") > z("n_compound")
-    own_hyphen = (F.col("hyphen") == "-") & ~known & ((z("n_compound") > 0) | ((z("c_a") > 0) & (z("c_b") > 0) & (z("n_joined") == 0)))
+    better = z("n_joined") > z("n_compound")
+    own_hyphen = (F.col("hyphen") == "-") & ~better & ((z("n_compound") > 0) | ((z("c_a") > 0) & (z("c_b") > 0) & (z("n_joined") == 0)))
     whole = F.concat(F.regexp_replace("part", r"\p{L}+$", ""), F.coalesce("joined_fixed", "joined"), F.regexp_replace("rest", r"^\p{L}+", ""))
     token = F.lower(F.regexp_replace(F.regexp_replace(whole, r"\[[\d,\s–-]*\]?.*$", ""), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     return s.filter(~own_hyphen).select("row", "paper_id", "line_no", F.lit("split_word").alias("noise_kind"), token.alias("fixed_word"), F.col("part").alias("raw"), "rest_line")
 
 
-def _misread(scans: DataFrame, fixes: DataFrame) -> DataFrame:
-    tokens = scans.mapInArrow(_tokens, "row bigint, paper_id string, line_no int, raw string, token string, word string")
-    hit = lookup_join(tokens, fixes, "word", "inner")
-    whole = F.regexp_replace(F.col("token"), F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.col("word"), F.lit(r"(?![\p{L}\p{N}])")), F.col("fixed"))
-    return hit.select("row", "paper_id", "line_no", F.lit("misread_word").alias("noise_kind"), whole.alias("fixed_word"), "raw", F.lit(None).cast("int").alias("rest_line"))
+def _misread(tokens: DataFrame, fixes: DataFrame) -> DataFrame:
+    hit = lookup_join(tokens.select("row", "paper_id", "line_no", F.col("part").alias("raw"), F.col("rest").alias("word")), fixes, "word", "inner")
+
+    def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("raw", "word", "fixed")]
+            right = [_PIECE.sub(lambda m, w=w, f=f: f if m[0] == w else m[0], trim(raw)) for raw, w, f in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "paper_id", "line_no")), pa.array(["misread_word"] * len(right), pa.string()), pa.array(right, pa.string()), b.column("raw"), pa.nulls(len(right), pa.int32())], names=["row", "paper_id", "line_no", "noise_kind", "fixed_word", "raw", "rest_line"])
+
+    return hit.mapInArrow(fix, "row bigint, paper_id string, line_no int, noise_kind string, fixed_word string, raw string, rest_line int")
 
 
 def repaired(papers: DataFrame) -> DataFrame:
@@ -170,8 +180,6 @@ def repaired(papers: DataFrame) -> DataFrame:
 
 def repair(text: str | None, spots: list[dict] | None) -> str | None:
     """Apply the spots of one paper."""
-    import re
-
     if text is None:
         return None
     lines, by = text.split("\n"), {}

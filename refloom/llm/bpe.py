@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 TOKENIZERS = os.environ.get("REFLOOM_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How each vocabulary cuts a text into pieces; no other vocabulary can be asked for.
+PATTERNS = {"byte_bpe_50k": PATTERN}
 #: Pieces remembered by a worker, and their greatest length in bytes.
 REMEMBERED, REMEMBERED_BYTES = 200_000, 48
 
@@ -118,7 +120,12 @@ def decode(ids: list[int], ranks: dict[bytes, int]) -> bytes:
 
 
 def vocabulary(spark: SparkSession, name: str = "byte_bpe_50k", folder: str | None = None) -> Broadcast:
-    """The vocabulary file's bytes for all workers; a file of about a megabyte, whatever the data."""
+    """The vocabulary file's bytes for all workers; a file of about a megabyte, whatever the data.
+
+    Names whose pattern is not known raise ValueError.
+    """
+    if name not in PATTERNS:
+        raise ValueError(f"no pattern known for vocabulary {name!r}")
     with open(os.path.join(folder or TOKENIZERS, f"{name}.tiktoken"), "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

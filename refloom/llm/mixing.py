@@ -14,6 +14,7 @@ Defined cases
 - a target source without documents: no total can give it its share, the mixture is empty unless
   ``total_tokens`` is given; then the other sources fill their quotas.
 - documents are not cut: an arc ends at the document whose middle it passes.
+- any number of sources; without target sources, or for empty tables, the mixture is empty.
 """
 
 from __future__ import annotations
@@ -25,29 +26,36 @@ from refloom.llm.bpe import encoded
 from refloom.llm.flow import greatest_total, route
 from refloom.plans.lineage import cut
 
-#: Documents of a pattern are put in order within this many ranges of their hash.
-RANGES = 4096
+#: Documents of a pattern are put in order within ranges of their hash: so many, or more for so many documents each.
+RANGES, RANGE_ROWS = 4096, 100_000
+SEPARATOR = "\x1f"
 
 
-def mixture(docs: DataFrame, targets: DataFrame, vocab: Broadcast, total_tokens: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Uses (doc_id, source, n_tokens, n_uses) and shares (source, target_share, quota, ...)."""
+def mixture(docs: DataFrame, targets: DataFrame, vocab: Broadcast, total_tokens: int | None = None, seed: int = 1, as_corpus: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Uses (doc_id, source, n_tokens, n_uses) and plan (source, target_share, max_repeats, quota).
+
+    ``total_tokens`` sets the size of the mixture, ``as_corpus`` makes it as large as the documents it is
+    drawn from; without either it is the greatest that meets all shares.
+    """
     spark = docs.sparkSession
     goal = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.filter("source is not null and target_share > 0 and max_repeats > 0").collect()}  # a row per source
     names = sorted(goal)
-    bit = F.create_map(*[F.lit(x) for k, s in enumerate(names) for x in (s, 1 << k)]) if names else None
     rows = docs.filter(F.col("source").isin(names) & F.col("text").isNotNull() & (F.col("text") != ""))
     tokens = encoded(rows.select(F.col("doc_id").alias("id"), "text"), vocab, counts_only=True)
     keyed = rows.select(F.col("doc_id").alias("id"), "source", F.md5(F.col("text").cast("binary")).alias("h"))
     keyed = cut(keyed.join(tokens, "id").filter("n_tokens > 0"))
-    mask = bit[F.col("source")].cast("bigint") if names else F.lit(0).cast("bigint")
-    texts = keyed.groupBy("h").agg(F.bit_or(mask).alias("pattern"), F.max("n_tokens").alias("n_tokens"))
+    pattern = F.array_join(F.sort_array(F.collect_set("source")), SEPARATOR)  # at most all sources
+    texts = cut(keyed.groupBy("h").agg(pattern.alias("pattern"), F.max("n_tokens").alias("n_tokens")))
+    ranges = max(RANGES, texts.count() // RANGE_ROWS)
     order = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 40))
-    texts = cut(texts.withColumn("order", order).withColumn("range", F.floor(F.col("order") / ((1 << 40) // RANGES)).cast("int")))
+    texts = texts.withColumn("order", order).withColumn("range", F.floor(F.col("order") / ((1 << 40) // ranges + 1)).cast("int"))
     sums = cut(texts.groupBy("pattern", "range").agg(F.sum("n_tokens").alias("tokens")))
     per = sums.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).collect()  # at most 2^sources rows
-    sets = {r["pattern"]: frozenset(s for k, s in enumerate(names) if r["pattern"] >> k & 1) for r in per}
+    sets = {r["pattern"]: frozenset(r["pattern"].split(SEPARATOR)) for r in per}
     capacity = {sets[r["pattern"]]: r["tokens"] for r in per}
     share, repeats = {s: v[0] for s, v in goal.items()}, {s: v[1] for s, v in goal.items()}
+    if as_corpus:
+        total_tokens = sum(capacity.values())
     total = total_tokens if total_tokens is not None else greatest_total(capacity, share, repeats)
     quota = {s: int(share[s] * total) for s in names}
     flows, _ = route(capacity, quota, repeats) if capacity else ({}, 0)
@@ -58,8 +66,8 @@ def mixture(docs: DataFrame, targets: DataFrame, vocab: Broadcast, total_tokens:
             if f := flows.get((members, s), 0):
                 arcs.append((p, s, at, at + f, capacity[members]))
                 at += f
-    arcs_df = spark.createDataFrame(arcs, "pattern bigint, source string, a bigint, z bigint, ring bigint")
-    w = W.partitionBy("pattern").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # RANGES rows
+    arcs_df = spark.createDataFrame(arcs, "pattern string, source string, a bigint, z bigint, ring bigint")
+    w = W.partitionBy("pattern").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
     offsets = sums.select("pattern", "range", F.coalesce(F.sum("tokens").over(w), F.lit(0)).alias("offset"))
     inner = W.partitionBy("pattern", "range").orderBy("order", "h").rowsBetween(W.unboundedPreceding, -1)
     placed = texts.join(offsets, ["pattern", "range"]).withColumn("at", F.col("offset") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from refloom.llm.bpe import vocabulary
 from refloom.llm.mixing import mixture, shares
@@ -20,10 +20,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_corpus_size(spark: SparkSession, d: str) -> DataFrame:
-    """Shares reached by a mixture as large as the corpus itself: scarce sources stay short of theirs."""
-    docs = table(spark, d, "documents").filter(F.length("text") > 0)
-    total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    return shares(*mixture(docs, table(spark, d, "mix_targets"), vocabulary(spark), total_tokens=total // 4))
+    """Shares reached by a mixture of as many tokens as the documents have: scarce sources stay short of theirs."""
+    return shares(*mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), vocabulary(spark), as_corpus=True))
 
 
 QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_corpus_size": p9_corpus_size}

@@ -10,6 +10,7 @@ Defined cases
 - null group key: the record belongs to no group and is left out. Group of one: kept only on request.
 - field without a usable value in any record: holder 0, value null.
 - equal ranks: the value whose smallest record id is lower wins. Repeated deliveries change nothing.
+- an abstract under several ids of one title stays; under three titles it is a notice.
 - provider that the trust table lacks: trusted least. Null retrieved_at: older than any time.
 - empty tables give an empty result; extra columns are ignored.
 """
@@ -21,8 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 LEAST_TRUST = 1_000_000
-#: A text that this many different groups carry word for word is a notice, not an abstract.
-NOTICE_GROUPS = 3
+#: A text that groups of this many different titles carry word for word is a notice, not an abstract; one work under several ids has one title.
+NOTICE_TITLES = 3
 #: Placeholders and wording of notices; fixed values.
 PLACEHOLDERS = r"(?i)^(n/?a|null|none|nil|nan|tbd|tba|-+|\.+|unknown|undefined|forthcoming|pending|\[object object\]|(no )?abstract( is)?( not)?( available| provided)?\.?|not available\.?)$"
 NOTICE_WORDS = r"(?i)(does not accept cookies|accept all cookies|restricted to subscribers|institutional account|supplied by a third party|indexed automatically|browser settings|enable javascript|version of record.*supplementary)"
@@ -98,6 +99,7 @@ def survivors(records: DataFrame, trust: DataFrame, fields: list[Field], group:
     long = records.filter(F.col(group).isNotNull()).join(trust, "provider", "left").select(
         group,
         F.col(rec).alias("_rec"),
+        F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"<[^<>]*>|[^\p{L}\p{N}]+", "").alias("_title") if "title" in records.columns else F.lit("").alias("_title"),
         F.explode(
             F.array(
                 *(
@@ -111,10 +113,10 @@ def survivors(records: DataFrame, trust: DataFrame, fields: list[Field], group:
             )
         ).alias("x"),
     )
-    values = long.select(group, "_rec", "x.*").filter("value is not null").groupBy(group, "field", "value").agg(F.max("rank").alias("rank"), F.min("_rec").alias("holder"))
+    values = long.select(group, "_rec", "_title", "x.*").filter("value is not null").groupBy(group, "field", "value").agg(F.max("rank").alias("rank"), F.min("_rec").alias("holder"), F.min(F.nullif("_title", F.lit(""))).alias("title"))
     if any(f.name == "abstract" for f in fields):
-        # Values are now distinct per group, so this counts groups.
-        df = values.filter("field = 'abstract'").groupBy(F.xxhash64("value").alias("_h")).agg(F.count(F.lit(1)).alias("_groups")).filter(F.col("_groups") >= NOTICE_GROUPS)
+        # Values are now distinct per group; a group without title counts as one title of its own.
+        df = values.filter("field = 'abstract'").groupBy(F.xxhash64("value").alias("_h")).agg(F.count_distinct(F.coalesce("title", F.col(group).cast("string"))).alias("_titles")).filter(F.col("_titles") >= NOTICE_TITLES)
         values = values.join(df.select(F.lit("abstract").alias("field"), "_h"), (F.xxhash64(values["value"]) == F.col("_h")) & (values["field"] == "abstract"), "left_anti")
     w = W.partitionBy(group, "field").orderBy(F.col("rank.complete").desc_nulls_last(), F.col("rank.trust").desc(), F.col("rank.at").desc_nulls_last(), "holder", "value")
     return values.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(group, "field", "holder", "value")

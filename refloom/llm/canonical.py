@@ -133,8 +133,8 @@ def raw_fields(raw: str, title: str | None, authors: list[str] | None) -> list[s
 
 
 def _number_fields(seg: str, numbers: list[re.Match], dashed: bool) -> list[str]:
-    """Year, volume with issue, pages. Between dashes a page range may stand as two numbers of its own: the nearest
-    two in order that are no years. Without a volume beside them the range has to end before its start doubles."""
+    """Year, volume with issue, pages. Between dashes a page range may stand as two numbers of its own: of the
+    neighbours in order that are no years, those whose end is least above their start in proportion. Without a volume beside them the range has to end before its start doubles."""
     out = ["#" + "-".join(re.findall(r"\d+", m[0])) for m in numbers]
     if not dashed:
         return out
@@ -145,7 +145,7 @@ def _number_fields(seg: str, numbers: list[re.Match], dashed: bool) -> list[str]
         if plain[k] and plain[k + 1] and seg[a.end() : b.start()].strip() == "-":
             first, last = int(a[0]), int(b[0])
             if first <= last and (volume or last < 2 * max(first, 10)):
-                close.append((last - first, k))
+                close.append((last / max(first, 1), k))
     if close and not any(re.fullmatch(rf"\d+\s*[{_DASH}]+\s*\d+", m[0]) for m in numbers):
         k = min(close)[1]
         out[k : k + 2] = [out[k] + "-" + out[k + 1][1:]]

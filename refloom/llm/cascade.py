@@ -123,8 +123,12 @@ def _paper(df: DataFrame) -> DataFrame:
     return df.select("key", *(F.col(c).alias(f"p_{c}") for c in df.columns if c != "key"))
 
 
-_NAMED = F.arrays_overlap("names", "p_names")
-_DATED = F.coalesce(F.col("year") == F.col("p_year"), F.lit(False))
+def _named() -> Column:
+    return F.arrays_overlap("names", "p_names")
+
+
+def _dated() -> Column:
+    return F.coalesce(F.col("year") == F.col("p_year"), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -144,12 +148,12 @@ class Limits:
 def _met(left: DataFrame, right: DataFrame, at: Limits) -> DataFrame:
     """Pairs that share ``key`` and a name or the year; keys of very many papers are split by name and year first."""
     if 2 * at.papers <= at.generic:
-        return at.join(left, right).filter(_NAMED | _DATED)
+        return at.join(left, right).filter(_named() | _dated())
     crowded = right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > at.generic).select("key")
     crowded = cut(crowded)
     if crowded.isEmpty():
-        return at.join(left, right).filter(_NAMED | _DATED)
-    cold = at.join(left.join(crowded, "key", "left_anti"), right.join(crowded, "key", "left_anti")).filter(_NAMED | _DATED)
+        return at.join(left, right).filter(_named() | _dated())
+    cold = at.join(left.join(crowded, "key", "left_anti"), right.join(crowded, "key", "left_anti")).filter(_named() | _dated())
     parts = F.explode(F.array_union(F.col("names"), F.array_compact(F.array(F.concat(F.lit("#"), F.col("year").cast("string"))))))
     fine = lambda df: df.join(crowded, "key", "left_semi").withColumn("part", parts).withColumn("key", _hash("key", "part")).drop("part")
     return cold.unionByName(at.join(fine(left), fine(right)))
@@ -173,7 +177,7 @@ def _pass_whole(e: DataFrame, p: DataFrame, at: Limits) -> DataFrame:
     """Rules 0 to 5: the whole title, or its core, with a name and the year, a name, or the year."""
     keyed = lambda df: _keys(_slim(df, "whole", "core"), (0, _if("whole", 8)), (3, _if("core", 8))).drop("whole", "core", "kind")
     j = _met(keyed(e), keyed(p), at)
-    return j.withColumn("rule", F.col("slot") + F.when(_NAMED & _DATED, 0).when(_NAMED, 1).otherwise(2)).withColumn("lack", F.lit(0))
+    return j.withColumn("rule", F.col("slot") + F.when(_named() & _dated(), 0).when(_named(), 1).otherwise(2)).withColumn("lack", F.lit(0))
 
 
 def _lacking() -> Column:
@@ -193,15 +197,15 @@ def _pass_lacking(e: DataFrame, p: DataFrame, lacking: int, counts: list[int], a
     j = _met(anchored(e, lacking, counts, "bigint"), anchored(p, lacking, counts, "string"), at).withColumn("lack", _lacking())
     short = F.least(F.size("words"), F.size("p_words"))
     if lacking == 1:
-        return j.filter("lack <= 1").withColumn("rule", F.when(_NAMED, 6).otherwise(7))
+        return j.filter("lack <= 1").withColumn("rule", F.when(_named(), 6).otherwise(7))
     long_ = F.greatest(F.size("words"), F.size("p_words"))
-    return j.filter(_NAMED & (F.col("lack") <= 2) & (short >= 4) & (long_ >= 6)).withColumn("rule", F.lit(9))
+    return j.filter(_named() & (F.col("lack") <= 2) & (short >= 4) & (long_ >= 6)).withColumn("rule", F.lit(9))
 
 
 def _pass_parts(e: DataFrame, p: DataFrame, at: Limits) -> DataFrame:
     """Rule 8: one title is what stands before the colon in the other; with a name."""
     keyed = lambda df: _keys(_slim(df, "main", "core"), (0, _if("main")), (0, F.col("core"))).drop("main", "core", "kind")
-    return _met(keyed(e), keyed(p), at).filter(_NAMED).withColumn("rule", F.lit(8)).withColumn("lack", F.lit(0))
+    return _met(keyed(e), keyed(p), at).filter(_named()).withColumn("rule", F.lit(8)).withColumn("lack", F.lit(0))
 
 
 def _pass_cut(e: DataFrame, p: DataFrame, at: Limits) -> DataFrame:
@@ -212,7 +216,7 @@ def _pass_cut(e: DataFrame, p: DataFrame, at: Limits) -> DataFrame:
     a, b = F.col("skeleton"), F.col("p_skeleton")
     short, long_ = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     begins = F.levenshtein(short, F.left(long_, F.length(short)), SLIP) >= 0
-    sure = _DATED | (F.left("whole", F.lit(34)) == F.left("p_whole", F.lit(34))) & (F.least(F.length("whole"), F.length("p_whole")) >= 34)
+    sure = _dated() | (F.left("whole", F.lit(34)) == F.left("p_whole", F.lit(34))) & (F.least(F.length("whole"), F.length("p_whole")) >= 34)
     return j.filter((F.col("slot") == 13) | (begins & sure)).withColumn("rule", F.col("slot")).withColumn("lack", F.lit(0))
 
 

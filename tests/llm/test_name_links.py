@@ -53,6 +53,8 @@ def _classes(spark, names, **limits):
 
 
 _NAMES = ["John A. Pledrostemu"] * 5 + ["J. Pledrostemu"] * 3 + ["Pledrostemu, John"] * 2 + ["PLEDROSTEMU J A", "Jon Pledrostemu", "John Pledrotsemu", "Maria Pledrostemu", "M. Pledrostemu", "Bob Kravitasol", "Robert Kravitasol", "Robert Kravitasol", "Wei Li", "Li, Wei"]
+# Given names stand beside many families.
+_NAMES += [f"{g} {f}" for g in ("Maria", "John", "Robert") for f in ("Dovakelin", "Testarosu", "Ullonvatik", "Brubekado")]
 
 
 def test_spellings_of_one_person_meet(spark):

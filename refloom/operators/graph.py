@@ -8,19 +8,22 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from refloom.functions.ids import node_key
 from refloom.plans.lineage import cut
-from refloom.plans.skew import lookup_join
+from refloom.plans.numbering import number_rows
+from refloom.plans.skew import HOT_ROWS, hot_keys, lookup_join
 
 ALPHA, TOLERANCE, MOST_ROUNDS = 0.85, 1e-6, 100
-#: Pairs of ids that betweenness holds in every worker; larger graphs are refused, not sampled.
-MOST_BROADCAST_EDGES = 5_000_000
+#: Pairs of ids that betweenness holds in every worker; larger graphs are searched by joins.
+MOST_BROADCAST_EDGES = 1_000_000
+#: Sources whose searches run side by side in joins.
+SOURCES_A_BATCH = 1_000
 
 
 def node_view(nodes: DataFrame) -> DataFrame:
@@ -108,15 +111,16 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> D
         return ids.select("id", F.lit(0.0).alias("pagerank"))
     e = pairs(inside(edges, ids))
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    # Edges with their weight stay as they are; every round moves only ranks.
+    # Edges with their weight stay as they are, and so do their hot sources; every round moves only ranks.
     e = cut(e.join(out, "src").select("src", "dst", (1.0 / F.col("out")).alias("w")))
+    hot = [r[0] for r in hot_keys(e, "src").collect()]
     ids = cut(ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling")))
     ranks, settled = cut(ids.select("id", "dangling", F.lit(1.0 / n).alias("r"), F.lit(0.0).alias("was"))), rounds is not None
     for _ in range(rounds or MOST_ROUNDS):
-        lost = ranks.filter("dangling").agg(F.sum("r").alias("s")).first()["s"] or 0.0
-        got = lookup_join(e, ranks.select(F.col("id").alias("src"), "r"), "src", "inner").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("r")).alias("got"))
-        nxt = ALPHA * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n)) + F.lit((1 - ALPHA) / n)
-        ranks = cut(ranks.join(got, "id", "left").select("id", "dangling", nxt.alias("r"), F.col("r").alias("was")))
+        lost = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0)).alias("lost")))  # one row
+        got = lookup_join(e, ranks.select(F.col("id").alias("src"), "r"), "src", "inner", hot=hot).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("r")).alias("got"))
+        nxt = ALPHA * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + F.lit((1 - ALPHA) / n)
+        ranks = cut(ranks.join(got, "id", "left").join(lost).select("id", "dangling", nxt.alias("r"), F.col("r").alias("was")))
         if rounds is None and ranks.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] < n * TOLERANCE:
             settled = True
             break
@@ -130,35 +134,72 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     minimum aggregation and a join, so a hub's neighbours never meet in one task.
     """
     e = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
+    state = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
+    before = state(e)
     while True:
-        before = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
+        hot = None if 2 * before["n"] > HOT_ROWS else []  # no node has more edges than there are
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = lookup_join(both, least, "u", "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = lookup_join(both, least, "u", "inner", hot=hot).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.filter("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = lookup_join(large, least, "u", "inner")
+        small = lookup_join(large, least, "u", "inner", hot=hot)
         e = cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        after = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
+        after = state(e)
         if before == after:
             break
+        before = after
     label = e.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("id"), "c")
     return nodes.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, held_edges: int = MOST_BROADCAST_EDGES) -> DataFrame:
     """(id, betweenness): share of shortest directed paths through each node, over (n-1)(n-2).
 
-    Sources are distributed; each worker runs one search per source over the adjacency, which every
-    worker holds. The number of edges is checked first.
+    The number of edges is counted first. Up to ``held_edges`` every worker holds the adjacency and runs
+    one search per source; larger graphs are searched level by level, by joins, for batches of sources.
     """
-    spark = edges.sparkSession
-    ids = nodes.select("id").distinct()
+    ids = cut(nodes.select("id").distinct())
     e = cut(pairs(inside(edges, ids)))
-    if (m := e.count()) > MOST_BROADCAST_EDGES:
-        raise ValueError(f"betweenness holds at most {MOST_BROADCAST_EDGES} edges in a worker, not {m}")
     n = ids.count()
-    shared = spark.sparkContext.broadcast([tuple(r) for r in e.collect()])
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    sums = _paths_by_worker(e, ids) if e.count() <= held_edges else _paths_by_joins(e)
+    return ids.join(sums, "id", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 6).alias("betweenness"))
+
+
+def _paths_by_joins(e: DataFrame) -> DataFrame:
+    """(id, b): dependency of all sources on each node, over distinct edges (src, dst)."""
+    sources = number_rows(e.select(F.col("src").alias("id")).distinct(), "id", "no")
+    sources = cut(sources.select("id", F.floor((F.col("no") - 1) / SOURCES_A_BATCH).alias("batch")))
+    last = sources.agg(F.max("batch")).first()[0]
+    parts = []
+    for batch in range(0 if last is None else last + 1):
+        level = cut(sources.filter(F.col("batch") == batch).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
+        levels, seen = [level], level.select("s", "v")
+        while True:
+            step = levels[-1].join(e, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+            level = cut(step.join(seen, ["s", "v"], "left_anti"))
+            if level.isEmpty():
+                break
+            levels.append(level)
+            seen = seen.unionByName(level.select("s", "v"))
+        below = None  # (s, v, paths, part) of the level below
+        for level in reversed(levels[1:]):
+            here = level.withColumn("part", F.lit(0.0))
+            if below is not None:
+                up = below.join(e, F.col("v") == F.col("dst")).select("s", F.col("src").alias("v"), ((1 + F.col("part")) / F.col("paths")).alias("up")).groupBy("s", "v").agg(F.sum("up").alias("up"))
+                here = level.join(up, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("up", F.lit(0.0))).alias("part"))
+            below = cut(here)
+            parts.append(cut(below.filter("v <> s").groupBy(F.col("v").alias("id")).agg(F.sum("part").alias("b"))))
+    if not parts:
+        return e.select(F.col("src").alias("id"), F.lit(0.0).alias("b")).limit(0)
+    return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("b").alias("b"))
+
+
+def _paths_by_worker(e: DataFrame, ids: DataFrame) -> DataFrame:
+    """The same with one search per source over an adjacency that every worker holds."""
+    spark = e.sparkSession
+    shared = spark.sparkContext.broadcast([tuple(r) for r in e.collect()])  # bounded by the caller
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: dict = {}
@@ -188,9 +229,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     kind = dict(ids.dtypes)["id"]
     sources = e.select(F.col("src").alias("id")).distinct().repartition(spark.sparkContext.defaultParallelism)
-    sums = sources.mapInPandas(run, f"id {kind}, b double").groupBy("id").agg(F.sum("b").alias("b"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return ids.join(sums, "id", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 6).alias("betweenness"))
+    return sources.mapInPandas(run, f"id {kind}, b double").groupBy("id").agg(F.sum("b").alias("b"))
 
 
 def graph_summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -232,50 +271,42 @@ def year_levels(nodes: DataFrame) -> DataFrame:
     return j.select("id", "year", F.coalesce("level", F.col("last").cast("int")).alias("level"))
 
 
-#: Vectors that one pass holds; more vectors take more passes.
-VECTOR_BLOCK = 100_000
+#: Vectors on either side of one task of the blocked join.
+VECTOR_BLOCK = 20_000
 
 
-def nearest_smaller(vectors: DataFrame, k: int) -> DataFrame:
+def nearest_smaller(vectors: DataFrame, k: int, block: int = VECTOR_BLOCK) -> DataFrame:
     """(src, dst, similarity): each vector's ``k`` most similar vectors of smaller id, by inner product.
 
-    All rows meet all rows in blocks; ties go to the smaller id.
+    All rows meet all rows in blocks: both sides are cut into parts of about ``block`` vectors, every pair of
+    parts is one task, and each keeps its best ``k``, of which the best are kept. Ties go to the smaller id.
     """
-    spark = vectors.sparkSession
-    v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).filter("embedding is not null")
-    blocks = max(1, -(-v.count() // VECTOR_BLOCK))
-    keyed = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    out = None
-    for block in range(blocks):
-        rows = sorted((r["vec_id"], r["embedding"]) for r in keyed.filter(F.col("block") == block).select("vec_id", "embedding").collect())  # about VECTOR_BLOCK rows
-        if not rows:
-            continue
-        side = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows])))
-
-        def run(batches: Iterator[pa.RecordBatch], side=side) -> Iterator[pa.RecordBatch]:
-            ids, m = side.value
-            for b in batches:
-                src: list = []
-                dst: list = []
-                sim: list = []
-                for i, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    end = int(np.searchsorted(ids, i))
-                    if end:
-                        s = m[:end] @ np.array(e)
-                        top = np.lexsort((ids[:end], -s))[:k] if end <= 4 * k else _top(s, ids[:end], k)
-                        src += [i] * len(top)
-                        dst += ids[top].tolist()
-                        sim += s[top].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(sim, pa.float64())], names=["src", "dst", "similarity"])
-
-        part = v.mapInArrow(run, "src bigint, dst bigint, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "src bigint, dst bigint, similarity double")
-    if blocks == 1:
-        return out
+    v = cut(vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).filter("embedding is not null"))
+    parts = max(1, -(-v.count() // block))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    mine = v.select("vec_id", "embedding", part.alias("i"), every.alias("j"))
+    theirs = v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("vector"), every.alias("p"), part.alias("q"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"src": [], "dst": [], "similarity": []})
+        b = b.sort_values("other")
+        ids, m = b["other"].to_numpy(), np.stack(b["vector"].to_numpy())
+        out: list[tuple] = []
+        for i, e in zip(a["vec_id"], a["embedding"], strict=True):
+            end = int(np.searchsorted(ids, i))
+            if end:
+                s = m[:end] @ np.asarray(e)
+                top = np.lexsort((ids[:end], -s))[:k] if end <= 4 * k else _top(s, ids[:end], k)
+                out += [(i, ids[t], s[t]) for t in top]
+        return pd.DataFrame(out, columns=["src", "dst", "similarity"])
+
+    near = mine.groupBy("i", "j").cogroup(theirs.groupBy("p", "q")).applyInPandas(best, "src bigint, dst bigint, similarity double")
+    if parts == 1:
+        return near
     w = W.partitionBy("src").orderBy(F.col("similarity").desc(), "dst")
-    return out.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
+    return near.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
 
 
 def _top(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

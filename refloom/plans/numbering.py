@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from refloom.plans.lineage import cut
 
-def number_rows(df: DataFrame, key: str, name: str, prefix: int = 8) -> DataFrame:
-    """Adds ``name``: 1.. in order of ``key`` (unique, string).
 
-    Keys are counted by their first characters; running sums over those counts give each prefix its
-    offset, and only the rows of one prefix are put in order together.
+def number_rows(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds ``name``: 1.. in order of ``key`` (unique).
+
+    Rows are put in ranges of the key, sampled so that they are alike in size whatever the keys begin
+    with; the ranges' row counts give each its offset, and rows count up within.
     """
-    df = df.withColumn("_p", F.substring(key, 1, prefix))
-    counts = df.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # a row per prefix
-    return df.join(offsets, "_p").withColumn(name, F.row_number().over(W.partitionBy("_p").orderBy(key)) + F.col("_o")).drop("_p", "_o")
+    ordered = cut(df.repartitionByRange(key).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")))
+    offsets, at = {}, 0
+    for r in sorted(ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_p"]):  # a row per task
+        offsets[r["_p"]], at = at, at + r["n"]
+    if not offsets:
+        return ordered.select(*df.columns, F.lit(0).cast("bigint").alias(name))
+    start = F.broadcast(df.sparkSession.createDataFrame(list(offsets.items()), "_p int, _o bigint"))
+    return ordered.join(start, "_p").select(*df.columns, (F.col("_i") + F.col("_o") + 1).alias(name))

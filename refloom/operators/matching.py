@@ -12,33 +12,29 @@ import re
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from refloom.functions.texts import squash, tiles
+from refloom.settings import SETTINGS
 
-STEM_FROM = 5
-SEMANTIC_LEAST, SEMANTIC_CHARS = 0.40, 10
+STEM_FROM = SETTINGS.stem_from
 
 
-def _body(keyword: str, word: str) -> str:
+def keyword_body(keyword: str, word: str) -> str:
+    """A keyword's words joined by a blank, a hyphen or nothing, the last one stemmed; empty keywords raise ValueError."""
     tokens = [t for t in re.split(r"[\s-]+", keyword.strip()) if t]
     if not tokens:
         raise ValueError("empty keyword")
     last = tokens[-1]
-    parts = [re.escape(t) for t in tokens[:-1]] + [re.escape(last[:-2]) + word + "*" if len(last) >= STEM_FROM else re.escape(last)]
+    parts = [re.escape(t) for t in tokens[:-1]] + [re.escape(last[: -SETTINGS.stem_drops]) + word + "*" if len(last) >= STEM_FROM else re.escape(last)]
     return r"[\s-]?".join(parts)
 
 
 def build_pattern(keyword: str) -> str:
     """Pattern with Unicode word classes; empty keywords raise ValueError."""
-    return r"(?iuU)(?<!\w)" + _body(keyword, r"\w")
-
-
-def portable_pattern(keyword: str) -> str:
-    """The same over ASCII words and without lookbehind, for engines that have none."""
-    return r"(?i)(?:^|[^A-Za-z0-9_])" + _body(keyword, "[A-Za-z0-9_]")
+    return r"(?iuU)(?<!\w)" + keyword_body(keyword, r"\w")
 
 
 def mentioned(text: Column, keywords: list[str]) -> Column:
     """Array of (kw_no, keyword) that a text mentions; the patterns are constants, compiled once."""
-    found = [F.when(text.rlike(portable_pattern(k)), F.struct(F.lit(i).alias("kw_no"), F.lit(k).alias("keyword"))) for i, k in enumerate(keywords)]
+    found = [F.when(text.rlike(build_pattern(k)), F.struct(F.lit(i).alias("kw_no"), F.lit(k).alias("keyword"))) for i, k in enumerate(keywords)]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
@@ -50,7 +46,7 @@ def sentence_hits(texts: DataFrame, key: str, keywords: list[str]) -> DataFrame:
     """
     some = F.lit(False)
     for k in keywords:
-        some = some | F.col("text").rlike(portable_pattern(k))
+        some = some | F.col("text").rlike(build_pattern(k))
     rows = texts.filter(some).select(key, tiles(F.col("text")).alias("pieces")).select(key, "pieces", F.posexplode("pieces").alias("sent_no", "piece"))
     rows = rows.select("*", F.explode(mentioned(F.col("piece"), keywords)).alias("k"))
     before = F.aggregate(F.slice("pieces", F.lit(1), F.col("sent_no")), F.lit(0), lambda acc, x: acc + F.length(x))
@@ -60,13 +56,6 @@ def sentence_hits(texts: DataFrame, key: str, keywords: list[str]) -> DataFrame:
     return rows.select(key, "kw_no", "keyword", "sent_no", "start_pos", end.alias("end_pos"), (end + F.length("nxt")).alias("win_end"), squash(F.concat("piece", "nxt")).alias("passage"))
 
 
-def char_window(text: Column, keyword: str, around: int) -> Column:
-    """First match with ``around`` characters on each side, null without match."""
-    at = F.regexp_instr(text, F.lit(portable_pattern(keyword)))
-    first = F.greatest(at - around, F.lit(1))
-    return F.when(at > 0, squash(F.substr(text, first, at + around - first)))
-
-
 def refs_in_windows(hits: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     """Hits with the keys of the references whose whole span lies in their window, in order of first span."""
     j = hits.join(refs.select(key, "bib_key", "ref_start", "ref_end"), key).filter((F.col("ref_start") >= F.col("start_pos")) & (F.col("ref_end") <= F.col("win_end")))
@@ -77,7 +66,7 @@ def refs_in_windows(hits: DataFrame, refs: DataFrame, key: str) -> DataFrame:
 
 def match_mode(texts: DataFrame, key: str, keywords: list[str]) -> DataFrame:
     """(key, n_keywords, n_hits, matches_any, matches_all) of texts that mention a keyword."""
-    counts = [F.regexp_count("text", F.lit(portable_pattern(k))) for k in keywords]
+    counts = [F.regexp_count("text", F.lit(build_pattern(k))) for k in keywords]
     out = texts.select(key, F.array(*counts).alias("c"))
     n = F.size(F.filter("c", lambda x: x > 0))
     return out.select(key, n.alias("n_keywords"), F.aggregate("c", F.lit(0), lambda a, x: a + x).alias("n_hits"), (n > 0).alias("matches_any"), (n == len(keywords)).alias("matches_all")).filter("matches_any")
@@ -96,7 +85,7 @@ def credited_contexts(contexts: DataFrame, keywords: list[str]) -> DataFrame:
     """Adds ``kw_no``: the first keyword that a context mentions, null if none."""
     out = F.lit(None).cast("int")
     for i, k in reversed(list(enumerate(keywords))):
-        out = F.when(F.col("context").rlike(portable_pattern(k)), F.lit(i)).otherwise(out)
+        out = F.when(F.col("context").rlike(build_pattern(k)), F.lit(i)).otherwise(out)
     return contexts.withColumn("kw_no", out)
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from refloom.operators.matching import portable_pattern
+from refloom.operators.search import mention_spans
 
 
 def effective_status() -> Column:
@@ -48,14 +47,12 @@ def highlight_spans(texts: DataFrame, keywords: list[str]) -> DataFrame:
 
     Choosing spans goes from left to right, so it is done text by text in Arrow batches.
     """
-    patterns = [re.compile(r"(?<![A-Za-z0-9_])" + portable_pattern(k).split(")", 2)[2], re.I) for k in keywords]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 last = -1
-                for s, e, k in sorted((m.start(), m.end(), k) for k, p in enumerate(patterns) for m in p.finditer(text or "")):
+                for s, e, k in sorted((s, e, k) for k, s, e in mention_spans(text, keywords)):
                     if s >= last:
                         out.append((i, s, e, k))
                         last = e

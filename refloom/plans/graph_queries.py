@@ -8,7 +8,7 @@ from refloom.operators import graph as G
 from refloom.operators import matching as M
 from refloom.operators.export import graphml_edge, graphml_node, manifest
 from refloom.operators.views import node_size, search, size_tier, spread, uncollide, visible
-from refloom.plans.text_queries import KEYWORDS
+from refloom.plans.text_queries import _BAR, KEYWORDS
 from refloom.sources.tables import table
 
 DEPTH, LIMIT, ROUNDS = 3, 500, 20
@@ -164,7 +164,7 @@ NV = """nv as (select * replace (authors as authors), pub_year as year, node_sta
 EV = """ev as (select * from (select edge_id, nullif(lower(trim(source_id)), '') src, nullif(lower(trim(target_id)), '') dst, edge_type, depth, context, seen_at from citation_edges) where src is not null and dst is not null and src <> dst
   qualify row_number() over (partition by src, dst, edge_type order by edge_id) = 1), pr as (select distinct src, dst from ev)"""
 _ROOT = "root as (select src id from pr group by 1 order by count(*) desc, 1 limit 1)"
-_CASE = "case " + " ".join(f"when regexp_matches(context, '{M.portable_pattern(k)}') then {i}" for i, k in enumerate(KEYWORDS)) + " end"
+_CASE = "case " + " ".join(f"when regexp_matches(context, '{p}') then {i}" for i, p in enumerate(_BAR)) + " end"
 _INE = "ine as (select src, dst from pr where src in (select id from nv) and dst in (select id from nv))"
 _KNN = "knn as (select a.vec_id src, b.vec_id dst, list_dot_product(a.embedding::double[], b.embedding::double[]) v from embeddings a join embeddings b on b.vec_id < a.vec_id qualify row_number() over (partition by src order by v desc, dst) <= 3)"
 _VEC = "vec as (select vec_id id, (1990 + vec_id % 35)::int as year, case when label % 3 = 0 then 'analyzed' else 'no_match' end status from embeddings)"

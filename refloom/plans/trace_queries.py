@@ -9,7 +9,7 @@ from refloom.operators import trace as TR
 from refloom.operators.graph import edge_view
 from refloom.plans.graph_queries import NV
 from refloom.plans.meta_queries import _A, _D, _T
-from refloom.plans.text_queries import KEYWORDS, _SENT
+from refloom.plans.text_queries import KEYWORDS, _BAR, _SENT
 from refloom.sources.tables import table
 from refloom.streaming import monitor
 
@@ -44,7 +44,7 @@ def trace_forward(spark: SparkSession, d: str) -> DataFrame:
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Citations per day and type, counted from a stream of files."""
     s = monitor.edge_stream(spark, f"{d}/citation_edges*", f"{d}/citation_edges.parquet")
-    return monitor.drain(monitor.window_counts(s)).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "edge_type", "n")
+    return monitor.drain(monitor.window_counts(s), ["window", "edge_type"]).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "edge_type", "n")
 
 
 def stream_new_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -56,11 +56,14 @@ def stream_new_edges(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (keyword_links, trace_forward, stream_windows, stream_new_edges)}
 
-_HITS = _SENT
-for _old, _new in zip(KEYWORDS, TRACE_WORDS, strict=True):
-    from refloom.operators.matching import portable_pattern as _p
+def _pattern(word: str) -> str:
+    """A word's pattern in the checking engine's notation: of five letters and more, two go and any ending may follow."""
+    return r"(?i)(?:^|[^\pL\pM\pN_])" + (word[:-2] + r"[\pL\pM\pN_]*" if len(word) > 4 else word)
+
 
-    _HITS = _HITS.replace(f"'{_old}', '{_p(_old)}'", f"'{_new}', '{_p(_new)}'")
+_HITS = _SENT
+for _old, _bar, _new in zip(KEYWORDS, _BAR, TRACE_WORDS, strict=True):
+    _HITS = _HITS.replace(f"'{_old}', '{_bar}'", f"'{_new}', '{_pattern(_new)}'")
 _KEY = "regexp_replace(lower(trim({0}.bib_key)), '^#', '')"
 _REL = f"""{_HITS}, {NV},
   beside as (select distinct h.paper_id, {_KEY.format('r')} k from hits h join inline_refs r on r.paper_id = h.paper_id and r.bib_key is not null and r.start_pos >= h.start_pos and r.end_pos <= h.start_pos + n + m),

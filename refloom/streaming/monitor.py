@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,31 +22,40 @@ def _state_folder(spark: SparkSession) -> str:
 
 
 def window_counts(stream: DataFrame, width: str = "1 day", late: str = "400 days") -> DataFrame:
-    """Rows and sources per window of seen_at and edge type; state older than the watermark is dropped."""
+    """Rows and sources per window of seen_at and edge type; windows older than the watermark leave the state."""
     # Watermarks need zoned times; the session's zone is put on and, in what is read off, taken away.
     timed = stream.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", late)
     return timed.groupBy(F.window("seen_at", width), "edge_type").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("source_id").alias("n_sources"))
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a small aggregate over all files there are, and gives its rows."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", _state_folder(spark)).trigger(availableNow=True).start()
+def drain(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs an aggregate over all files there are, in update mode, and gives the last row of each ``keys``.
+
+    Every batch writes only the rows that it changed, into a folder of its own in the shared folder: nothing is
+    held on the driver, and windows behind the watermark leave the state.
+    """
+    out, schema = f"{_state_folder(stream.sparkSession)}/rows", stream.schema
+    rows = _written(stream, out, "update", lambda batch: batch)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), "batch").alias("r")).select("r.*")
+    return last.select(*schema.names)
+
+
+def _written(stream: DataFrame, out: str, mode: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs a stream over all files there are; batches go to folders of their own, so one that is run again replaces its rows."""
+
+    def write(batch: DataFrame, no: int) -> None:
+        change(batch).write.mode("overwrite").parquet(f"{out}/batch={no}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return stream.sparkSession.read.option("basePath", out).parquet(f"{out}/batch=*")
 
 
 def new_edges(stream: DataFrame, baseline: DataFrame) -> DataFrame:
     """Edges of the stream that the baseline (src, dst, edge_type) lacks; each batch is written as it comes."""
-    spark = stream.sparkSession
-    folder = _state_folder(spark)
-    out = f"{folder}/rows"
 
-    def write(batch: DataFrame, no: int) -> None:
+    def fresh(batch: DataFrame) -> DataFrame:
         e = batch.select("edge_id", node_key(F.col("source_id")).alias("src"), node_key(F.col("target_id")).alias("dst"), "edge_type").filter("src is not null and dst is not null and src <> dst")
-        # One folder per batch: a batch that is run again replaces its own rows.
-        e.join(baseline, ["src", "dst", "edge_type"], "left_anti").write.mode("overwrite").parquet(f"{out}/batch={no}")
+        return e.join(baseline, ["src", "dst", "edge_type"], "left_anti")
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema("edge_id bigint, src string, dst string, edge_type string").parquet(out).select("edge_id", "src", "dst", "edge_type")
+    return _written(stream, f"{_state_folder(stream.sparkSession)}/rows", "append", fresh).select("edge_id", "src", "dst", "edge_type")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-FIRST_YEAR, GAP = 1970, 2
+from refloom.settings import SETTINGS
+
+FIRST_YEAR, GAP = SETTINGS.first_year, SETTINGS.year_gap
 
 
 def plausible(year: Column, last_year: int) -> Column:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from refloom.functions.fuzzy import fuzzy_pairs
 from refloom.functions.ids import normalize_arxiv, normalize_doi, normalize_title
 from refloom.plans.numbering import number_rows
+from refloom.settings import SETTINGS
 
-SEARCH_LEAST, LINK_LEAST, LINK_CHARS, YEARS_APART = 85.0, 88.0, 15, 3
+SEARCH_LEAST, LINK_LEAST, LINK_CHARS, YEARS_APART = SETTINGS.search_least, SETTINGS.link_least, SETTINGS.link_chars, SETTINGS.search_years_apart
 
 
 def truthy(c: Column, kind: str) -> Column:
@@ -123,7 +126,7 @@ def enrich(nodes: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def chunks(keys: DataFrame, key: str, size: int = 50) -> DataFrame:
+def chunks(keys: DataFrame, key: str, size: int = SETTINGS.batch_keys) -> DataFrame:
     """Distinct keys with the number of their request, ``size`` keys in each, in order."""
     return number_rows(keys.select(key).filter(F.col(key).isNotNull()).distinct(), key, "_n").select(key, F.floor((F.col("_n") - 1) / size).alias("chunk"))
 
@@ -139,3 +142,38 @@ def lookup_cache(probes: DataFrame, cache: DataFrame, keys: list[str]) -> DataFr
     c = cache.select(*keys, "data", F.lit(True).alias("_there"))
     state = F.when(F.col("_there").isNull(), "miss").when(F.col("data").isNull(), "negative").when(F.try_parse_json("data").isNull(), "miss").otherwise("hit")
     return probes.join(c, keys, "left").withColumn("state", state).drop("_there")
+
+
+def latest_versions(preprints: DataFrame, key: str, version: str) -> DataFrame:
+    """(key, version): the greatest version number of each preprint, 1 where none is a number above it."""
+    return preprints.groupBy(key).agg(F.greatest(F.coalesce(F.max(F.col(version).try_cast("int")), F.lit(1)), F.lit(1)).alias("version"))
+
+
+def breaker(calls: DataFrame, failures: int = SETTINGS.breaker_failures, open_seconds: int = SETTINGS.breaker_open_seconds) -> DataFrame:
+    """Calls (source, ts, call, failed) in order of time with ``allowed`` and ``opened``.
+
+    After so many failures in a row the circuit is open for a time: calls in it are not allowed and tell nothing.
+    A success closes it. Rows stream through their task in order, with the state of one source at a time.
+    """
+
+    schema = ", ".join(f"{c} {t}" for c, t in calls.dtypes) + ", allowed boolean, opened boolean"
+
+    def walk_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}
+        for pdf in batches:
+            allowed, opened = [], []
+            for source, ts, failed in zip(pdf["source"], pdf["ts"], pdf["failed"], strict=True):
+                if source not in state:
+                    state = {source: (0, None)}  # rows of a source follow each other
+                bad, until = state[source]
+                ok, now = until is None or ts >= until, False
+                if ok:
+                    bad, until = (bad + 1, until) if failed else (0, None)
+                    if bad >= failures:
+                        bad, until, now = 0, ts + pd.Timedelta(seconds=open_seconds), True
+                state[source] = bad, until
+                allowed.append(ok)
+                opened.append(now)
+            yield pdf.assign(allowed=allowed, opened=opened)
+
+    return calls.repartition("source").sortWithinPartitions("source", "ts", "call").mapInPandas(walk_part, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from refloom.functions import ids as I
 from refloom.functions import years as Y
 from refloom.operators import diff as D
+from refloom.operators import records as N
 from refloom.operators import resolve as R
 from refloom.plans.graph_queries import EV, NV, _edges, _nodes
 from refloom.sources.tables import table
@@ -158,12 +159,71 @@ def cache_fast_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def props_values(spark: SparkSession, d: str) -> DataFrame:
-    """Fields of JSON payloads, wrapped ones unwrapped."""
+    """First field, number of fields and validity of JSON payloads."""
     v = F.try_parse_json("props")
     first = F.get(F.json_object_keys("props"), F.lit(0))
     return table(spark, d, "events").select("event_id", first.alias("field"), F.size(F.json_object_keys("props")).alias("n_fields"), v.isNotNull().alias("valid"))
 
 
+def wrapped_values(spark: SparkSession, d: str) -> DataFrame:
+    """Titles from payloads in which every other one is wrapped, and every fifth payload is broken."""
+    t = table(spark, d, "bib_entries").filter("title is not null").select("entry_id", "title")
+    plain, wrapped = F.to_json(F.struct("title")), F.to_json(F.struct(F.struct(F.col("title").alias("value")).alias("title")))
+    payload = F.when(F.pmod("entry_id", F.lit(5)) == 0, F.lit("{broken")).when(F.pmod("entry_id", F.lit(2)) == 0, wrapped).otherwise(plain)
+    return t.select("entry_id", N.unwrapped(payload, "title").alias("title"))
+
+
+def normalized_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records as two indexes would send them, brought back into one form."""
+    r = table(spark, d, "resolved_refs")
+    words = F.map_from_entries(F.transform(F.array_distinct(F.split("t", " ")), lambda w: F.struct(w.alias("k"), F.filter(F.transform(F.split("t", " "), lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("v"))))
+    r = r.withColumn("t", F.trim(F.regexp_replace("abstract", r"\s+", " ")))
+    ids = F.create_map(F.lit("DOI"), F.col("doi"), F.lit("ArXiv"), F.col("arxiv_id"))
+    a = F.to_json(F.struct("title", F.col("pub_year").alias("year"), F.col("publication_date").alias("publicationDate"), "abstract", F.col("citation_count").alias("citationCount"), ids.alias("externalIds"), F.transform("authors", lambda x: F.struct(x.alias("name"))).alias("authors"), F.struct("url").alias("openAccessPdf")))
+    b = F.to_json(
+        F.struct(
+            "doi", "title", F.col("pub_year").alias("publication_year"), "publication_date", F.col("citation_count").alias("cited_by_count"), F.transform("authors", lambda x: F.struct(F.struct(x.alias("display_name")).alias("author"))).alias("authorships"),
+            words.alias("abstract_inverted_index"), F.struct(F.lit(None).cast("string").alias("pdf_url"), F.col("url").alias("landing_page_url")).alias("best_oa_location"),
+        )
+    )
+    odd = F.pmod("rec_id", F.lit(2)) == 1
+    sent = r.select("rec_id", F.when(odd, "citation_index").otherwise("work_index").alias("kind"), F.when(odd, a).otherwise(b).alias("payload"))
+    n = N.normalized(sent)
+    return n.select("rec_id", "kind", "title", "year", "publication_date", "doi", "arxiv_id", F.length("abstract").alias("abstract_chars"), "citation_count", F.array_join("authors", "; ").alias("authors"), F.col("open_access_url").alias("url"))
+
+
+def embedded_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links to files inside pages that embed them in several ways."""
+    r = table(spark, d, "resolved_refs").select("rec_id")
+    name, kind = F.concat(F.lit("file"), F.col("rec_id"), F.lit(".pdf")), F.pmod("rec_id", F.lit(4))
+    link = F.when(kind == 0, F.concat(F.lit("//cdn.example.org/"), name)).when(kind == 1, F.concat(F.lit("/store/"), name)).when(kind == 2, F.concat(F.lit("https://x.example.org/"), name))
+    page = F.when(kind == 1, F.concat(F.lit("<button onclick=\"location.href='"), link, F.lit("'\">get</button>"))).otherwise(F.concat(F.lit('<html><embed type="application/pdf" src="'), link, F.lit('#view=fit"></html>')))
+    return r.select("rec_id", N.embedded_link(F.coalesce(page, F.lit("<html>nothing</html>")), F.lit("https://site.example.org/a/b")).alias("link"))
+
+
+def citing_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of citing records; those that name no paper are left out."""
+    r = table(spark, d, "resolved_refs").select("rec_id", "title", F.col("pub_year").alias("year"), "doi", "arxiv_id")
+    return N.citing_nodes(r).select("rec_id", "id", "year", F.col("node_url").alias("url"), "lookup", F.col("node_status").alias("status"))
+
+
+def resolve_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Entries resolved by DOI, else arXiv id, else whole title."""
+    return N.resolve_by_ids(table(spark, d, "bib_entries"), table(spark, d, "resolved_refs"))
+
+
+def latest_version(spark: SparkSession, d: str) -> DataFrame:
+    """Latest version of every preprint, one where none is known."""
+    r = table(spark, d, "resolved_refs").select("paper_id", F.pmod("rec_id", F.lit(4)).cast("int").cast("string").alias("version"))
+    return R.latest_versions(r, "paper_id", "version")
+
+
+def breaker_states(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that a circuit breaker of three failures and two minutes would let through, per user."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("source"), "ts", F.col("event_id").alias("call"), (F.col("event_type") == "error").alias("failed"))
+    return R.breaker(e).select("source", "call", "allowed", "opened")
+
+
 def breaker_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of consecutive failures per user, with the time the circuit would stay open."""
     e = table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("bad"))
@@ -198,7 +258,7 @@ def since_filter(spark: SparkSession, d: str) -> DataFrame:
     return n.select("id", D.passes_since(F.col("year"), F.col("publication_date"), SINCE).alias("passes"))
 
 
-QUERIES = {f.__name__: f for f in (paper_ids, url_router, preprint_urls, year_backfill_min, year_backfill_last, secondary_edges, fuzzy_title_best, title_search_cascade, resolve_cascade, availability_cascade, batch_enrich, batch_chunks, negative_cache, cache_latest, cache_three_state, cache_purge_negatives, cache_fast_path, props_values, breaker_runs, diff_nodes, diff_edges, diff_counts, since_filter)}
+QUERIES = {f.__name__: f for f in (paper_ids, url_router, preprint_urls, year_backfill_min, year_backfill_last, secondary_edges, fuzzy_title_best, title_search_cascade, resolve_cascade, availability_cascade, batch_enrich, batch_chunks, negative_cache, cache_latest, cache_three_state, cache_purge_negatives, cache_fast_path, props_values, breaker_runs, diff_nodes, diff_edges, diff_counts, since_filter, wrapped_values, normalized_records, embedded_links, citing_nodes, resolve_ids, latest_version, breaker_states)}
 
 _D = lambda c: rf"nullif(regexp_replace(lower(trim({c})), '^https?://(dx\.)?doi\.org/', ''), '')"
 _A = lambda c: rf"nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '^arxiv:\s*', ''), '\s*\[[^\]]*\]\s*', '', 'g'), 'v[0-9]+$', '')), '')"
@@ -251,4 +311,17 @@ ORACLES = {
     "diff_edges": f"with {NV}, {EV}, {_OLD}, {_DIFF} select src, dst, edge_type, is_new from dedges",
     "diff_counts": f"with {NV}, {EV}, {_OLD}, {_DIFF} select (select count(*) from dnodes where is_new) new_nodes, (select count(*) from dnodes where unknown_date) unknown_dates, (select count(*) from dedges where is_new) new_edges",
     "since_filter": f"with {NV} select id, {_PASS} passes from nv",
+    "wrapped_values": "select entry_id, case when entry_id % 5 <> 0 then title end title from bib_entries where title is not null",
+    "normalized_records": rf"""select rec_id, case when rec_id % 2 = 1 then 'citation_index' else 'work_index' end kind, title, pub_year as year, publication_date, {_D('doi')} doi, case when rec_id % 2 = 1 then {_A('arxiv_id')} end arxiv_id,
+        case when rec_id % 2 = 1 then length(abstract) else length(nullif(trim(regexp_replace(abstract, '\s+', ' ', 'g')), '')) end::int abstract_chars, citation_count,
+        coalesce(array_to_string(list_filter(authors, lambda a: coalesce(a, '') <> ''), '; '), '') authors, url from resolved_refs""",
+    "embedded_links": """select rec_id, case rec_id % 4 when 0 then 'https://cdn.example.org/file' || rec_id || '.pdf' when 1 then 'https://site.example.org/store/file' || rec_id || '.pdf' when 2 then 'https://x.example.org/file' || rec_id || '.pdf' end link from resolved_refs""",
+    "citing_nodes": f"""with x as (select rec_id, pub_year, title raw, {_D('doi')} d, {_A('arxiv_id')} a, {_T('title')} t from resolved_refs)
+        select rec_id, coalesce('doi:' || d, 'arxiv:' || a, case when length(raw) > 0 then 'title:' || substr(sha256(t), 1, 16) end, 'unknown:' || substr(sha256('unknown'), 1, 8)) id, pub_year as year,
+          coalesce('https://arxiv.org/abs/' || a, 'https://doi.org/' || d) url, coalesce('ARXIV:' || a, 'DOI:' || d) lookup, 'analyzed' status from x where length(trim(coalesce(raw, ''))) > 0 or d is not null or a is not null""",
+    "resolve_ids": f"""with dn as (select {_D('doi')} k, min(rec_id) r from resolved_refs where {_D('doi')} is not null group by 1), an as (select {_A('arxiv_id')} k, min(rec_id) r from resolved_refs where {_A('arxiv_id')} is not null group by 1),
+        tn as (select {_T('title')} k, min(rec_id) r from resolved_refs where {_T('title')} <> '' group by 1)
+        select entry_id, coalesce(dn.r, an.r, tn.r) rec_id, case when dn.r is not null then 'doi' when an.r is not null then 'arxiv' else 'title' end "by" from bib_entries b
+        left join dn on dn.k = {_D('b.doi')} left join an on an.k = {_A('b.arxiv_id')} left join tn on tn.k = {_T('b.title')} where coalesce(dn.r, an.r, tn.r) is not null""",
+    "latest_version": "select paper_id, greatest(coalesce(max(rec_id % 4), 1), 1)::int as version from resolved_refs group by 1",
 }

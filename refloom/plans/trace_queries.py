@@ -18,25 +18,26 @@ TRACE_WORDS = ["recurrent", "learning", "baseline"]
 DEPTH = 3
 
 
-def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links_of(spark: SparkSession, d: str, words: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links beside the words, papers that mention one, and papers with a text, of the tables in a folder."""
     key = F.regexp_replace(F.lower(F.trim("bib_key")), "^#", "").alias("bib_key")
     pid = node_key(F.col("paper_id")).alias("paper_id")
     papers = table(spark, d, "papers").select(pid, "text", "title", "doi", "arxiv_id")
     refs = table(spark, d, "inline_refs").filter("bib_key is not null").select(pid, key, F.col("start_pos").alias("ref_start"), F.col("end_pos").alias("ref_end"))
     bib = table(spark, d, "bib_entries").select("entry_id", pid, key, "doi", "arxiv_id", "title")
     records = papers.select(F.col("paper_id").alias("id"), "doi", "arxiv_id", "title").unionByName(table(spark, d, "paper_nodes").select(node_key(F.col("paper_id")).alias("id"), "doi", "arxiv_id", "title"))
-    links, matched = TR.keyword_links(papers.select("paper_id", "text"), refs, bib, records, TRACE_WORDS)
+    links, matched = TR.keyword_links(papers.select("paper_id", "text"), refs, bib, records, words)
     return links, matched, papers.select(F.col("paper_id").alias("id"))
 
 
 def keyword_links(spark: SparkSession, d: str) -> DataFrame:
     """Papers cited beside a keyword."""
-    return _links(spark, d)[0]
+    return links_of(spark, d, TRACE_WORDS)[0]
 
 
 def trace_forward(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of the trace from the paper that cites most beside a keyword."""
-    links, matched, readable = _links(spark, d)
+    links, matched, readable = links_of(spark, d, TRACE_WORDS)
     root = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "id").limit(1).select("id")
     return TR.trace(links, matched, readable, root, DEPTH)[0]
 

@@ -276,34 +276,41 @@ VECTOR_BLOCK = 20_000
 
 
 def nearest_smaller(vectors: DataFrame, k: int, block: int = VECTOR_BLOCK) -> DataFrame:
-    """(src, dst, similarity): each vector's ``k`` most similar vectors of smaller id, by inner product.
+    """(src, dst, similarity): each vector's ``k`` most similar vectors of smaller id, by inner product; ties go to the smaller id."""
+    return nearest(vectors, vectors, k, block, smaller=True)
 
-    All rows meet all rows in blocks: both sides are cut into parts of about ``block`` vectors, every pair of
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = VECTOR_BLOCK, smaller: bool = False) -> DataFrame:
+    """(src, dst, similarity): for each query its ``k`` most similar other vectors, or those of smaller id only.
+
+    All queries meet all vectors in blocks: both sides are cut into parts of about ``block`` rows, every pair of
     parts is one task, and each keeps its best ``k``, of which the best are kept. Ties go to the smaller id.
     """
-    v = cut(vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).filter("embedding is not null"))
-    parts = max(1, -(-v.count() // block))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    mine = v.select("vec_id", "embedding", part.alias("i"), every.alias("j"))
-    theirs = v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("vector"), every.alias("p"), part.alias("q"))
+    double = F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
+    q, v = (cut(df.filter("embedding is not null").select("vec_id", double)) for df in (queries, vectors))
+    n_q, n_v = (max(1, -(-df.count() // block)) for df in (q, v))
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = q.select("vec_id", "embedding", part(n_q).alias("i"), every(n_v).alias("j"))
+    theirs = v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("vector"), every(n_q).alias("p"), part(n_v).alias("q"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"src": [], "dst": [], "similarity": []})
-        b = b.sort_values("other")
-        ids, m = b["other"].to_numpy(), np.stack(b["vector"].to_numpy())
         out: list[tuple] = []
-        for i, e in zip(a["vec_id"], a["embedding"], strict=True):
-            end = int(np.searchsorted(ids, i))
-            if end:
-                s = m[:end] @ np.asarray(e)
-                top = np.lexsort((ids[:end], -s))[:k] if end <= 4 * k else _top(s, ids[:end], k)
-                out += [(i, ids[t], s[t]) for t in top]
-        return pd.DataFrame(out, columns=["src", "dst", "similarity"])
+        if len(a) and len(b):
+            b = b.sort_values("other")
+            ids, m = b["other"].to_numpy(), np.stack(b["vector"].to_numpy())
+            for i, e in zip(a["vec_id"], a["embedding"], strict=True):
+                end = int(np.searchsorted(ids, i)) if smaller else len(ids)
+                s, near = m[:end] @ np.asarray(e), ids[:end]
+                if not smaller:
+                    s, near = s[near != i], near[near != i]
+                if len(s):
+                    top = np.lexsort((near, -s))[:k] if len(s) <= 4 * k else _top(s, near, k)
+                    out += [(i, near[t], s[t]) for t in top]
+        return pd.DataFrame(out, columns=["src", "dst", "similarity"]).astype({"src": "int64", "dst": "int64", "similarity": "float64"})
 
     near = mine.groupBy("i", "j").cogroup(theirs.groupBy("p", "q")).applyInPandas(best, "src bigint, dst bigint, similarity double")
-    if parts == 1:
+    if n_v == 1:
         return near
     w = W.partitionBy("src").orderBy(F.col("similarity").desc(), "dst")
     return near.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")

@@ -8,6 +8,7 @@ from refloom.functions import texts as T
 from refloom.operators import matching as M
 from refloom.operators import search as S
 from refloom.operators import tei
+from refloom.operators.graph import nearest
 from refloom.operators.views import highlight_spans
 from refloom.sources.tables import table
 
@@ -107,6 +108,12 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     return v.filter(F.col("vec_id") != seed["vec_id"]).select("vec_id", F.round(s, 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(10)
 
 
+def semantic_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten vectors closest to each vector whose id is divisible by 50, among all."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return nearest(v.filter(F.col("vec_id") % 50 == 0), v, 10).select("src", "dst", F.round("similarity", 6).alias("score"))
+
+
 def math_noise(spark: SparkSession, d: str) -> DataFrame:
     """Lines of papers with three mathematical letters or more, and with three signs of punctuation or more."""
     lines = _papers(spark, d).select("paper_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -251,7 +258,7 @@ def plain_documents(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("id").alias("paper_id"), F.length("text").alias("body_chars"), F.size("bib").alias("n_entries"), F.array_join(F.transform("refs", lambda r: r["bib_key"]), " ").alias("ref_keys"), F.element_at("bib", -1)["raw"].alias("last_raw"))
 
 
-QUERIES = {f.__name__: f for f in (kw_sentence_hits, kw_count_per_doc, kw_char_window, kw_match_mode, window_refs, hit_ref_contexts, hit_summary, ref_to_bib, reverse_contexts, semantic_hits, semantic_topk, math_noise, numbered_ref_expand, numbered_entries, surname_signatures, inverted_index_roundtrip, text_functions, session_hash, highlights, tei_parse, narrative_refs, kw_mentions, search_hits, tei_headers, tei_bibliography, tei_rejoined, plain_documents)}
+QUERIES = {f.__name__: f for f in (kw_sentence_hits, kw_count_per_doc, kw_char_window, kw_match_mode, window_refs, hit_ref_contexts, hit_summary, ref_to_bib, reverse_contexts, semantic_hits, semantic_topk, semantic_neighbours, math_noise, numbered_ref_expand, numbered_entries, surname_signatures, inverted_index_roundtrip, text_functions, session_hash, highlights, tei_parse, narrative_refs, kw_mentions, search_hits, tei_headers, tei_bibliography, tei_rejoined, plain_documents)}
 
 # Patterns written out once more, in the checking engine's own notation, so that the check does not lean on the code it checks.
 _BAR = [r"(?i)(?:^|[^\pL\pM\pN_])" + p + r"[\pL\pM\pN_]*" for p in ("recurre", r"tensor[\s-]?factorisati", "baseli")]
@@ -314,6 +321,8 @@ ORACLES = {
     "reverse_contexts": f"select edge_id, case when regexp_matches(context, '{_BAR[0]}') then 0 when regexp_matches(context, '{_BAR[1]}') then 1 when regexp_matches(context, '{_BAR[2]}') then 2 end::int kw_no from citation_edges where kw_no is not null",
     "semantic_hits": f"with {_SEED} select vec_id, round(v, 4) score from sims where label <> slabel and round(v, 4) >= {SEMANTIC_DEMO}",
     "semantic_topk": f"with {_SEED} select vec_id, round(v, 6) score from sims where vec_id <> sid order by score desc, vec_id limit 10",
+    "semantic_neighbours": """with s as (select a.vec_id src, b.vec_id dst, list_dot_product(a.embedding::double[], b.embedding::double[]) v from embeddings a join embeddings b on a.vec_id % 50 = 0 and b.vec_id <> a.vec_id)
+        select src, dst, round(v, 6) score from s qualify row_number() over (partition by src order by v desc, dst) <= 10""",
     "math_noise": rf"""with l as (select paper_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no from papers),
         c as (select paper_id, line_no::int line_no, len(regexp_extract_all(line, '{_MATH}'))::int n_math, len(regexp_extract_all(line, '[()=<>%+*/]'))::int n_signs from l)
         select * from c where n_math >= 3 or n_signs >= 3""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from refloom.functions.fuzzy import fuzzy_pairs
 from refloom.functions.ids import normalize_arxiv, normalize_doi, normalize_title
+from refloom.functions.texts import query_phrase, query_words
 from refloom.plans.numbering import number_rows
+from refloom.plans.skew import salted_join
 from refloom.settings import SETTINGS
 
 SEARCH_LEAST, LINK_LEAST, LINK_CHARS, YEARS_APART = SETTINGS.search_least, SETTINGS.link_least, SETTINGS.link_chars, SETTINGS.search_years_apart
@@ -177,3 +179,47 @@ def breaker(calls: DataFrame, failures: int = SETTINGS.breaker_failures, open_se
             yield pdf.assign(allowed=allowed, opened=opened)
 
     return calls.repartition("source").sortWithinPartitions("source", "ts", "call").mapInPandas(walk_part, schema)
+
+
+def best_entry(bib: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, entry_id, by): for each node the first entry with its DOI, else with its arXiv id, else the entry whose title is most like its own, 88 or more."""
+    one = lambda c, k: bib.select("entry_id", c.alias(k)).filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("entry_id").alias(f"e_{k}"))
+    n = nodes.select("id", normalize_doi(F.col("doi")).alias("d"), normalize_arxiv(F.col("arxiv_id")).alias("a"), normalize_title(F.col("title")).alias("b"))
+    n = n.join(one(normalize_doi(F.col("doi")), "d"), "d", "left").join(one(normalize_arxiv(F.col("arxiv_id")), "a"), "a", "left")
+    exact = n.select("id", F.coalesce("e_d", "e_a").alias("entry_id"), F.when(F.col("e_d").isNotNull(), "doi").otherwise("arxiv").alias("by")).filter("entry_id is not null")
+    left = n.join(exact.select("id"), "id", "left_anti").filter(F.length("b") >= LINK_CHARS).select("id", "b")
+    titles = bib.select("entry_id", normalize_title(F.coalesce(truthy(F.col("title"), "string"), "raw")).alias("a")).filter("a <> ''")
+    scored = titles.join(fuzzy_pairs(titles, left, LINK_LEAST), "a").join(left, "b")
+    best = scored.groupBy("id").agg(F.max_by("entry_id", F.struct("score", -F.col("entry_id"))).alias("entry_id"))
+    return exact.unionByName(best.select("id", "entry_id", F.lit("title").alias("by")))
+
+
+def title_candidates(bib: DataFrame, records: DataFrame, phrases: int = SETTINGS.phrase_candidates, words: int = SETTINGS.keyword_candidates) -> DataFrame:
+    """(entry_id, rec_id, strategy): records to compare an entry's title with.
+
+    The first ``phrases`` records, by id, with the title's whole phrase; for entries without any, the first
+    ``words`` records that hold all words of weight in the title. Both limits are those of an index's answer.
+    """
+    phrase = lambda c: F.lower(query_phrase(c))
+    b = bib.select("entry_id", phrase(F.col("title")).alias("p"), F.split(query_words(F.col("title")), " ").alias("w")).filter("p <> ''")
+    r = records.select("rec_id", phrase(F.col("title")).alias("p"), F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words")).filter("p <> ''")
+    first = lambda df, most: df.withColumn("_k", F.row_number().over(W.partitionBy("entry_id").orderBy("rec_id"))).filter(F.col("_k") <= most).drop("_k")
+    by_phrase = first(salted_join(b.select("entry_id", "p"), r.select("rec_id", "p"), "p").select("entry_id", "rec_id"), phrases).withColumn("strategy", F.lit("phrase"))
+    # The longest word of weight finds the records, the rest are checked.
+    longest = F.element_at(F.array_sort(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
+    rest = b.join(by_phrase.select("entry_id"), "entry_id", "left_anti").withColumn("word", longest).filter("word <> ''")
+    met = salted_join(rest.select("entry_id", "w", "word"), r.select("rec_id", "words", F.explode(F.array_distinct("words")).alias("word")), "word")
+    by_words = first(met.filter(F.forall("w", lambda x: F.array_contains("words", x))).select("entry_id", "rec_id"), words).withColumn("strategy", F.lit("words"))
+    return by_phrase.unionByName(by_words)
+
+
+def encoded_texts(texts: DataFrame, key: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
+    """(key, embedding) of (key, text): ``load`` gives a function from texts to vectors and is called once a task; null texts have no vector."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = load()
+        for pdf in batches:
+            pdf = pdf[pdf["text"].notna()]
+            yield pd.DataFrame({key: pdf[key], "embedding": encode(pdf["text"].tolist()) if len(pdf) else []})
+
+    return texts.select(key, "text").mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, embedding array<double>")

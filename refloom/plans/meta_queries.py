@@ -212,6 +212,12 @@ def resolve_ids(spark: SparkSession, d: str) -> DataFrame:
     return N.resolve_by_ids(table(spark, d, "bib_entries"), table(spark, d, "resolved_refs"))
 
 
+def title_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Records that an index would offer for each entry's title, by phrase, else by words."""
+    b = table(spark, d, "bib_entries").filter("title is not null")
+    return R.title_candidates(b, table(spark, d, "resolved_refs").filter("title is not null"))
+
+
 def latest_version(spark: SparkSession, d: str) -> DataFrame:
     """Latest version of every preprint, one where none is known."""
     r = table(spark, d, "resolved_refs").select("paper_id", F.pmod("rec_id", F.lit(4)).cast("int").cast("string").alias("version"))
@@ -258,7 +264,7 @@ def since_filter(spark: SparkSession, d: str) -> DataFrame:
     return n.select("id", D.passes_since(F.col("year"), F.col("publication_date"), SINCE).alias("passes"))
 
 
-QUERIES = {f.__name__: f for f in (paper_ids, url_router, preprint_urls, year_backfill_min, year_backfill_last, secondary_edges, fuzzy_title_best, title_search_cascade, resolve_cascade, availability_cascade, batch_enrich, batch_chunks, negative_cache, cache_latest, cache_three_state, cache_purge_negatives, cache_fast_path, props_values, breaker_runs, diff_nodes, diff_edges, diff_counts, since_filter, wrapped_values, normalized_records, embedded_links, citing_nodes, resolve_ids, latest_version, breaker_states)}
+QUERIES = {f.__name__: f for f in (paper_ids, url_router, preprint_urls, year_backfill_min, year_backfill_last, secondary_edges, fuzzy_title_best, title_search_cascade, resolve_cascade, availability_cascade, batch_enrich, batch_chunks, negative_cache, cache_latest, cache_three_state, cache_purge_negatives, cache_fast_path, props_values, breaker_runs, diff_nodes, diff_edges, diff_counts, since_filter, wrapped_values, normalized_records, embedded_links, citing_nodes, resolve_ids, title_candidates, latest_version, breaker_states)}
 
 _D = lambda c: rf"nullif(regexp_replace(lower(trim({c})), '^https?://(dx\.)?doi\.org/', ''), '')"
 _A = lambda c: rf"nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '^arxiv:\s*', ''), '\s*\[[^\]]*\]\s*', '', 'g'), 'v[0-9]+$', '')), '')"
@@ -271,6 +277,8 @@ _PASS = "case when regexp_extract(coalesce(publication_date, ''), '^([0-9]{4}-[0
 _OLD = EV.replace("ev as", "oe as").replace(", pr as (select distinct src, dst from ev)", "").replace("from citation_edges)", f"from citation_edges where seen_at < timestamp '{SNAPSHOT}')")
 _DIFF = f"dnodes as (select id, coalesce({_PASS}, false) and id not in (select nullif(lower(trim(paper_id)), '') from baseline_nodes) is_new, ({_PASS}) is null unknown_date from nv), dedges as (select src, dst, edge_type, (src, dst, edge_type) not in (select (src, dst, edge_type) from oe) is_new from ev)"
 _FIRST = lambda f, miss: f"(arg_min({f}, struct_pack(a := coalesce(trust_rank, 99), b := rec_id)) filter ({f} is not null and {f} <> {miss})) {f}"
+# Words without weight, written out once more for the check.
+_STOP = ", ".join(f"'{w}'" for w in "the and for with from into over under this that these those their there where which what when while using based via novel towards toward against".split())
 _PRE = "[" + ", ".join(f"'{p}'" for p in _PREFIX) + "]"
 ORACLES = {
     "paper_ids": f"""with x as (select entry_id, {_D('doi')} d, {_A('arxiv_id')} a, {_T('title')} t, title raw from bib_entries)
@@ -323,5 +331,11 @@ ORACLES = {
         tn as (select {_T('title')} k, min(rec_id) r from resolved_refs where {_T('title')} <> '' group by 1)
         select entry_id, coalesce(dn.r, an.r, tn.r) rec_id, case when dn.r is not null then 'doi' when an.r is not null then 'arxiv' else 'title' end "by" from bib_entries b
         left join dn on dn.k = {_D('b.doi')} left join an on an.k = {_A('b.arxiv_id')} left join tn on tn.k = {_T('b.title')} where coalesce(dn.r, an.r, tn.r) is not null""",
+    "title_candidates": f"""with ph as (select entry_id, lower(substr(trim(regexp_replace(regexp_replace(title, '[^A-Za-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 200)) p,
+          list_filter(regexp_extract_all(lower(title), '[a-z0-9]{{4,}}'), lambda w: w not in ({_STOP}))[1:8] w from bib_entries where title is not null),
+        rc as (select rec_id, lower(substr(trim(regexp_replace(regexp_replace(title, '[^A-Za-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 200)) p, regexp_extract_all(lower(title), '[a-z0-9]+') ws from resolved_refs where title is not null),
+        a as (select entry_id, rec_id, 'phrase' strategy from ph join rc using (p) where p <> '' qualify row_number() over (partition by entry_id order by rec_id) <= 5),
+        c as (select entry_id, rec_id, 'words' strategy from ph join rc on len(w) > 0 and list_has_all(ws, w) and rc.p <> '' where ph.p <> '' and entry_id not in (select entry_id from a) qualify row_number() over (partition by entry_id order by rec_id) <= 10)
+        select * from a union all select * from c""",
     "latest_version": "select paper_id, greatest(coalesce(max(rec_id % 4), 1), 1)::int as version from resolved_refs group by 1",
 }

@@ -182,3 +182,22 @@ def test_points_are_set_apart_and_spread(spark):
     df = spark.createDataFrame([("a", 0.0, 0.0), ("b", 0.1, 0.2), ("c", 9.0, 9.0)], "id string, x double, y double")
     assert {r.id: r.x for r in uncollide(df, 10.0).collect()} == {"a": -5.0, "b": 5.1, "c": 9.0}
     assert {r.id: r.x for r in spread(df.filter("id <> 'b'"), 2.0).collect()} == {"a": -4.5, "c": 13.5}
+
+
+def test_best_entry_of_a_node(spark):
+    nodes = _nodes(spark, [("q", "Graph neural networks for text", "10.1/q", None, 1, 1), ("r", "Another long title here", None, "1.2", 1, 1), ("s", "Reading of small things", None, None, 1, 1), ("t", "Never cited at all here", None, None, 1, 1)])
+    bib = _bib(spark, [(1, "p", "x", None, "10.1/Q", None), (2, "p", "y", None, "10.1/q", None), (3, "p", "z", None, None, "1.2v3"), (4, "p", "Reading of small thing", None, None, None), (5, "p", "reading of small things", None, None, None)])
+    assert {r.id: (r.entry_id, r.by) for r in R.best_entry(bib, nodes).collect()} == {"q": (1, "doi"), "r": (3, "arxiv"), "s": (5, "title")}
+
+
+def test_candidates_by_phrase_then_by_words(spark):
+    bib = _bib(spark, [(1, "p", "Deep models of text", None, None, None), (2, "p", "The deep novel corpus", None, None, None), (3, "p", None, None, None, None), (4, "p", "of it", None, None, None)])
+    rec = spark.createDataFrame([(i, "Deep Models of Text") for i in range(7)] + [(20, "A corpus that is deep"), (21, "A corpus"), (22, None)], "rec_id bigint, title string")
+    got = sorted((r.entry_id, r.rec_id, r.strategy) for r in R.title_candidates(bib, rec).collect())
+    assert got == [(1, i, "phrase") for i in range(5)] + [(2, 20, "words")]
+
+
+def test_texts_are_encoded_by_a_model_loaded_once_a_task(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "k int, text string")
+    out = {r.k: r.embedding for r in R.encoded_texts(df, "k", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()}
+    assert out == {1: [2.0, 1.0], 3: [0.0, 1.0]}

@@ -2,7 +2,8 @@
 
 Every record is read once into forms of its title and its names. Passes go from strict to weak
 attribute combinations; each joins the entries still open with the papers on the keys of that pass,
-takes for every entry the strictest rule that holds, and leaves the rest to the next pass. Within a
+takes for every entry the strictest rule that holds, and leaves the rest to the next pass. Both sides
+are shuffled: no side is broadcast, as estimates of its size do not see the rows that keys add. Within a
 rule fewer missing words win, then more names in common, then the nearer year, then the smaller id.
 
 Titles that lack words meet on anchors: words are put in order of their frequency among the papers
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from refloom.llm.match_keys import described
-from refloom.plans.lineage import cut
+from refloom.plans.lineage import cut, release
 from refloom.plans.skew import HOT_ROWS, salted_join
 
 #: Words that two titles share at least where words lack.
@@ -142,7 +143,7 @@ class Limits:
 
     def join(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Salted join; a side with fewer rows than make a key hot need not be counted. A row has a key twice at most."""
-        return salted_join(left, _paper(right), "key", self.hot_rows, hot_sides=(2 * self.entries > self.hot_rows, 2 * self.papers > self.hot_rows))
+        return salted_join(left, _paper(right), "key", self.hot_rows, hot_sides=(2 * self.entries > self.hot_rows, 2 * self.papers > self.hot_rows), hint="merge")
 
 
 def _met(left: DataFrame, right: DataFrame, at: Limits) -> DataFrame:
@@ -150,7 +151,7 @@ def _met(left: DataFrame, right: DataFrame, at: Limits) -> DataFrame:
     if 2 * at.papers <= at.generic:
         return at.join(left, right).filter(_named() | _dated())
     crowded = right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > at.generic).select("key")
-    crowded = cut(crowded)
+    crowded = cut(crowded).hint("merge")
     if crowded.isEmpty():
         return at.join(left, right).filter(_named() | _dated())
     cold = at.join(left.join(crowded, "key", "left_anti"), right.join(crowded, "key", "left_anti")).filter(_named() | _dated())
@@ -248,18 +249,22 @@ def match_forms(entries: DataFrame, papers: DataFrame, hot_rows: int = HOT_ROWS,
         lambda e, at: [_pass_lacking(e, papers, 2, counts, at), _pass_cut(e, papers, at)],
         lambda e, at: [_pass_title(e, papers, at)],
     )
-    open_, n_open, found = entries, entries.count(), []
+    spark, open_, n_open, found = entries.sparkSession, entries, entries.count(), []
+    del entries  # the forms of entries that are matched go with their pass
     for run in passes:
         at = Limits(hot_rows, generic, n_open, n_papers)
         hits = reduce(DataFrame.unionByName, (_pairs(j) for j in run(open_, at)))
         if run is passes[-1]:
             one = hits.groupBy("id", "rule").agg(F.count(F.lit(1)).alias("papers")).filter((F.col("papers") == 1) | ~F.col("rule").isin(*BY_TITLE)).select("id", "rule")
-            hits = hits.join(one, ["id", "rule"], "left_semi")
+            hits = hits.join(one.hint("merge"), ["id", "rule"], "left_semi")
         w = W.partitionBy("id").orderBy("rule", "lack", F.col("n").desc(), F.col("apart").asc_nulls_last(), "paper_id")
         best = cut(hits.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("id", "paper_id", "rule", "apart"))
         found.append(best)
         n_open -= best.count()
-        open_ = open_.join(best.select("id"), "id", "left_anti")
+        if run is not passes[-1]:
+            open_ = cut(open_.join(best.select("id").hint("merge"), "id", "left_anti"))
+        del hits
+        release(spark)  # else what the passes shuffled piles up on disk
     return reduce(DataFrame.unionByName, found)
 
 

@@ -44,16 +44,18 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return salted.join(copied, [key, "_salt"], how).drop("_salt")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS, salts: int = SALTS, hot_sides: tuple[bool, bool] = (True, True)) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS, salts: int = SALTS, hot_sides: tuple[bool, bool] = (True, True), hint: str | None = None) -> DataFrame:
     """Inner join of two sides that may both repeat ``key``; keys that are hot on either side are spread.
 
     A key hot on the left has its left rows dealt out and its right rows copied, one hot on the right
     the other way round, one hot on both sides goes to a grid. Nothing is dropped, every pair meets
     once, and other keys pay nothing. ``hot_sides``: false for a side known to be too small for a hot key.
+    ``hint``: how the sides are joined; "merge" keeps either of them off the driver whatever its size is taken for.
     """
+    hinted = lambda df: df.hint(hint) if hint else df
     by_left, by_right = (_known(df, key, hot_rows) if may else [] for df, may in zip((left, right), hot_sides, strict=True))
     if not by_left and not by_right:
-        return left.join(right, key)
+        return left.join(hinted(right), key)
     kind = dict(left.dtypes)[key]
     sides = {k: (salts if k in set(by_left) else 1) for k in {*by_left, *by_right}}
     rows = [(k, n, salts if k in set(by_right) else 1) for k, n in sides.items()]
@@ -62,4 +64,4 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT
     every = lambda c: F.explode(F.sequence(F.lit(0), one(F.col(c)) - 1))
     a = left.join(marks, key, "left").withColumn("_i", _spread(left, one(F.col("_l")))).withColumn("_j", every("_r")).drop("_l", "_r")
     b = right.join(marks, key, "left").withColumn("_j", _spread(right, one(F.col("_r")))).withColumn("_i", every("_l")).drop("_l", "_r")
-    return a.join(b, [key, "_i", "_j"]).drop("_i", "_j")
+    return a.join(hinted(b), [key, "_i", "_j"]).drop("_i", "_j")

@@ -132,3 +132,16 @@ def test_rules_are_measured_on_held_out_descriptions(spark):
     assert sum(n for n, _ in conf.values()) <= 45
     assert rule_precision(read_forms(_side(spark, [], "string"), "string")).count() == 0
     assert match_forms(read_forms(_side(spark, [], "bigint"), "bigint"), forms).count() == 0
+
+
+def test_no_side_passes_through_the_driver(spark, tmp_path, monkeypatch):
+    """Sides read from small files are taken for small, whatever their keys make of them."""
+    rng, papers = _world()
+    entries = [(i, _noisy(rng, p[1]), p[2][:1] if i % 4 else p[2], p[3] if i % 5 else p[3] + 7) for i, p in enumerate(papers)]
+    want = _found(spark, entries, papers)
+    for name, df in (("e", _side(spark, entries, "bigint")), ("p", _side(spark, papers, "string"))):
+        df.write.parquet(str(tmp_path / name))
+    plans, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: (cut(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    got = {(r.id, r.paper_id) for r in cascade(*(spark.read.parquet(str(tmp_path / name)) for name in "ep"), generic=3).collect()}
+    assert got == want and sum("SortMergeJoin" in p for p in plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from refloom.functions.fuzzy import fuzzy_pairs
 from refloom.functions.ids import normalize_arxiv, normalize_doi, normalize_title
 from refloom.functions.texts import query_phrase, query_words
+from refloom.plans.lineage import cut, release
 from refloom.plans.numbering import number_rows
-from refloom.plans.skew import salted_join
+from refloom.plans.skew import HOT_ROWS, lookup_join, salted_join
 from refloom.settings import SETTINGS
 
 SEARCH_LEAST, LINK_LEAST, LINK_CHARS, YEARS_APART = SETTINGS.search_least, SETTINGS.link_least, SETTINGS.link_chars, SETTINGS.search_years_apart
+#: Sets of words that a word alone may find; a word that more sets have is asked for together with another.
+RARE = 200
 
 
 def truthy(c: Column, kind: str) -> Column:
@@ -194,23 +197,49 @@ def best_entry(bib: DataFrame, nodes: DataFrame) -> DataFrame:
     return exact.unionByName(best.select("id", "entry_id", F.lit("title").alias("by")))
 
 
-def title_candidates(bib: DataFrame, records: DataFrame, phrases: int = SETTINGS.phrase_candidates, words: int = SETTINGS.keyword_candidates) -> DataFrame:
+def title_candidates(bib: DataFrame, records: DataFrame, phrases: int = SETTINGS.phrase_candidates, words: int = SETTINGS.keyword_candidates, rare: int = RARE) -> DataFrame:
     """(entry_id, rec_id, strategy): records to compare an entry's title with.
 
     The first ``phrases`` records, by id, with the title's whole phrase; for entries without any, the first
     ``words`` records that hold all words of weight in the title. Both limits are those of an index's answer.
     """
     phrase = lambda c: F.lower(query_phrase(c))
-    b = bib.select("entry_id", phrase(F.col("title")).alias("p"), F.split(query_words(F.col("title")), " ").alias("w")).filter("p <> ''")
-    r = records.select("rec_id", phrase(F.col("title")).alias("p"), F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words")).filter("p <> ''")
-    first = lambda df, most: df.withColumn("_k", F.row_number().over(W.partitionBy("entry_id").orderBy("rec_id"))).filter(F.col("_k") <= most).drop("_k")
-    by_phrase = first(salted_join(b.select("entry_id", "p"), r.select("rec_id", "p"), "p").select("entry_id", "rec_id"), phrases).withColumn("strategy", F.lit("phrase"))
-    # The longest word of weight finds the records, the rest are checked.
-    longest = F.element_at(F.array_sort(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
-    rest = b.join(by_phrase.select("entry_id"), "entry_id", "left_anti").withColumn("word", longest).filter("word <> ''")
-    met = salted_join(rest.select("entry_id", "w", "word"), r.select("rec_id", "words", F.explode(F.array_distinct("words")).alias("word")), "word")
-    by_words = first(met.filter(F.forall("w", lambda x: F.array_contains("words", x))).select("entry_id", "rec_id"), words).withColumn("strategy", F.lit("words"))
-    return by_phrase.unionByName(by_words)
+    first = lambda df, key, most: df.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy("rec_id"))).filter(F.col("_k") <= most).drop("_k")
+    b = bib.select("entry_id", phrase(F.col("title")).alias("p"), F.array_join(F.array_sort(F.array_distinct(F.split(query_words(F.col("title")), " "))), " ").alias("w")).filter("p <> ''")
+    found = F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0))
+    r = records.select("rec_id", phrase(F.col("title")).alias("p"), F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("words")).filter("p <> ''")
+    # A phrase, or a set of words, has so many records in any answer: later ones are left out before the join.
+    by_phrase = cut(first(salted_join(b.select("entry_id", "p"), first(r.select("rec_id", "p"), "p", phrases), "p").select("entry_id", "rec_id"), "entry_id", phrases))
+    rest = b.join(by_phrase.select("entry_id"), "entry_id", "left_anti").filter("w <> ''").select("entry_id", "w")
+    sets = cut(first(r.select("rec_id", "words"), "words", words).groupBy("words").agg(F.collect_list("rec_id").alias("recs")))
+    met = cut(first(_holding(rest.select("w").distinct(), sets, rare), "w", words))
+    release(bib.sparkSession)
+    by_words = first(salted_join(rest, met, "w").select("entry_id", "rec_id"), "entry_id", words)
+    return by_phrase.withColumn("strategy", F.lit("phrase")).unionByName(by_words.withColumn("strategy", F.lit("words")))
+
+
+def _holding(asked: DataFrame, sets: DataFrame, rare: int) -> DataFrame:
+    """(w, rec_id): for each ``w`` the records of all ``sets`` with all its words.
+
+    ``w`` and ``words``: distinct words, in order, between blanks. A set is found by its rarest word; where more than
+    ``rare`` sets have that one, by the pair of its two rarest, and the other words are checked.
+    """
+    each = sets.select("words", F.explode(F.split("words", " ")).alias("word"))
+    n = cut(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    ranked = lookup_join(asked.select("w", F.explode(F.split("w", " ")).alias("word")), n, "word", "inner")
+    ranked = ranked.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o")).filter(F.size("o") == F.size(F.split("w", " ")))  # else no set has all words
+    two = F.array_join(F.array_sort(F.slice(F.col("o")["word"], 1, 2)), " ")
+    often = F.col("o")[0]["n"] > rare
+    ranked = cut(ranked.select("w", F.when(often, two).otherwise(F.col("o")[0]["word"]).alias("key")))
+    of_words = lookup_join(each, n.filter(F.col("n") <= rare), "word", "inner").withColumnRenamed("word", "key").join(sets, "words")
+    frequent = lookup_join(each, n.filter(F.col("n") > rare), "word", "inner").groupBy("words").agg(F.array_sort(F.collect_list("word")).alias("f")).join(sets, "words")
+    pairs = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda y: F.concat(x, F.lit(" "), y))))
+    keyed = of_words.select("words", "recs", "key").unionByName(frequent.select("words", "recs", F.explode(F.concat("f", pairs)).alias("key")))
+    padded = F.concat(F.lit(" "), "words", F.lit(" "))
+    may_be_hot = (n.agg(F.max("n")).first()[0] or 0) > HOT_ROWS  # no key is in more sets than its word
+    release(asked.sparkSession)
+    met = salted_join(ranked, keyed, "key", hot_sides=(True, may_be_hot))
+    return met.filter(F.forall(F.split("w", " "), lambda x: F.contains(padded, F.concat(F.lit(" "), x, F.lit(" "))))).select("w", F.explode("recs").alias("rec_id"))
 
 
 def encoded_texts(texts: DataFrame, key: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:

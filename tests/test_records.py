@@ -197,6 +197,26 @@ def test_candidates_by_phrase_then_by_words(spark):
     assert got == [(1, i, "phrase") for i in range(5)] + [(2, 20, "words")]
 
 
+@pytest.mark.parametrize("rare", [0, 3, 200])
+def test_candidates_by_words_equal_brute_force_whatever_key_finds_them(spark, rare):
+    import random
+
+    rng = random.Random(3)
+    vocab = ["graph", "neural", "network", "deep", "text", "model", "learning", "corpus", "of", "a", "rarely"]
+    title = lambda n: " ".join(rng.choice(vocab[: 10 + (rng.random() < 0.1)]) for _ in range(n))
+    bib = [(i, title(rng.randint(1, 5))) for i in range(60)] + [(60, "unknown graph"), (61, "Deep, deep"), (62, "a")]
+    rec = [(i, title(rng.randint(2, 8))) for i in range(150)]
+    whole = {e: [r for r, u in rec if u.lower() == t.lower().replace(",", "")][:5] for e, t in bib}
+    want = {(e, r, "phrase") for e in whole for r in whole[e]}
+    for e, t in bib:
+        w = {x for x in t.lower().replace(",", "").split() if len(x) > 3}
+        if w and not whole[e]:
+            want |= {(e, r, "words") for r in [r for r, u in rec if w <= set(u.split())][:10]}
+    frames = (spark.createDataFrame(rows, f"{k} bigint, title string") for k, rows in (("entry_id", bib), ("rec_id", rec)))
+    got = [(r.entry_id, r.rec_id, r.strategy) for r in R.title_candidates(*frames, rare=rare).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_texts_are_encoded_by_a_model_loaded_once_a_task(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "k int, text string")
     out = {r.k: r.embedding for r in R.encoded_texts(df, "k", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()}

@@ -90,6 +90,40 @@ def test_fuzzy_pairs_lose_none(spark):
     assert fuzzy_pairs(left, right.limit(0), 85).count() == 0
 
 
+@pytest.mark.parametrize("least", [60, 85, 88])
+def test_near_finds_what_all_pairs_have(monkeypatch, least):
+    import random
+
+    import numpy as np
+
+    from refloom.functions import fuzzy
+
+    for name, value in (("ROWS", 8), ("TILE", 40), ("PAIRS", 64)):  # many lots, the last ones not full
+        monkeypatch.setattr(fuzzy, name, value)
+    rng = random.Random(least)
+    words = "graph neural networks network deep text texts model modelling learning corpus of for a and sparse 3d x".split()
+    a = [" ".join(rng.choices(words, k=rng.randint(1, 24))) for _ in range(150)] + ["", "z" * 700, "na\u00efve \u0394 graph", "word " * 60]
+    b = ["".join(c for c in t if rng.random() > 0.06) for t in a] + ["z" * 699, "naive d graph", rng.choice(words)]
+    spec = fuzzy.spec_of(b)
+    found = [lot for lot in fuzzy.near(fuzzy.side_of(a, spec), fuzzy.side_of(b, spec), least)]
+    i, j, score = (np.concatenate(v) for v in zip(*found, strict=True))
+    want = {(p, q): s for p, x in enumerate(a) for q, y in enumerate(b) if x.strip() and y.strip() and (s := token_sort(x, y)) >= least}
+    got = {(p, q): s for p, q, s in zip(i.tolist(), j.tolist(), score.tolist(), strict=True)}
+    assert len(got) == len(i) and got == {k: s for k, s in want.items()} and len(got) < len(a) * len(b) / 2
+
+
+def test_token_set_by_common_beginning():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = (" ".join(rng.choices("graph graphs deep net nets a of text".split(), k=rng.randint(1, 6))) for _ in range(2))
+        x, y = set(a.split()), set(b.split())
+        both, one, two = " ".join(sorted(x & y)), " ".join(sorted(x & y) + sorted(x - y)), " ".join(sorted(x & y) + sorted(y - x))
+        want = 100.0 if both and (x <= y or y <= x) else max([ratio(one, two)] + ([ratio(both, one), ratio(both, two)] if both else []))
+        assert token_set(a, b) == want
+
+
 def _bib(spark, rows):
     return spark.createDataFrame([(i, p, f"b{i}", t, "", None, y, d, a) for i, p, t, y, d, a in rows], "entry_id bigint, paper_id string, bib_key string, title string, raw string, authors array<string>, pub_year int, doi string, arxiv_id string")
 

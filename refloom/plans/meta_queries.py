@@ -10,6 +10,7 @@ from refloom.operators import diff as D
 from refloom.operators import records as N
 from refloom.operators import resolve as R
 from refloom.plans.graph_queries import EV, NV, _edges, _nodes
+from refloom.plans.lineage import cut
 from refloom.sources.tables import table
 
 LAST_YEAR, SINCE, SNAPSHOT = 2026, "2015-06", "2025-01-01"
@@ -90,8 +91,9 @@ def title_search_cascade(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "resolved_refs").select("rec_id", "title", "pub_year", "provider")
     out = None
     for no, (provider, rule, first) in enumerate((("preprint_api", "after", False), ("index_a", "before", False), ("review_site", "none", False), ("index_b", "none", True))):
-        hit = R.title_search(b, c.filter(F.col("provider") == provider), rule, first).withColumn("stage", F.lit(no))
-        out = hit if out is None else out.unionByName(hit.join(out, "entry_id", "left_anti"))
+        hit = cut(R.title_search(b, c.filter(F.col("provider") == provider), rule, first).withColumn("stage", F.lit(no)))
+        b = b.join(hit.select("entry_id"), "entry_id", "left_anti")  # later providers are asked for the rest only
+        out = hit if out is None else out.unionByName(hit)
     return out.select("entry_id", "rec_id", "stage", F.round("score", 4).alias("score"))
 
 

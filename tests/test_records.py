@@ -124,6 +124,20 @@ def test_token_set_by_common_beginning():
         assert token_set(a, b) == want
 
 
+def test_later_providers_are_asked_for_the_rest(spark, monkeypatch):
+    from refloom.plans import meta_queries
+
+    asked, search = [], R.title_search
+
+    def watched(bib, *rest):
+        asked.append({r.entry_id for r in bib.select("entry_id").collect()})
+        return search(bib, *rest)
+
+    monkeypatch.setattr(R, "title_search", watched)
+    stages = [(r.entry_id, r.stage) for r in meta_queries.title_search_cascade(spark, "/root/testdata/sf0.001").collect()]
+    assert stages and len(asked) == 4 and all(asked[k] == asked[0] - {e for e, stage in stages if stage < k} for k in range(4))
+
+
 def _bib(spark, rows):
     return spark.createDataFrame([(i, p, f"b{i}", t, "", None, y, d, a) for i, p, t, y, d, a in rows], "entry_id bigint, paper_id string, bib_key string, title string, raw string, authors array<string>, pub_year int, doi string, arxiv_id string")
 
